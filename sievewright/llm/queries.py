@@ -5,10 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import garbled
+from sievewright.llm import garbled, residue, truncated
 from sievewright.session import table
 
 
+def _abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts of landed and parsed rows under one schema: src, row_key, source, text."""
+    landed = table(spark, sf_dir, "delta").select(
+        F.lit("delta").alias("src"), F.col("row_id").alias("row_key"), F.col("publisher_domain").alias("source"), F.col("abstract").alias("text")
+    )
+    parsed = table(spark, sf_dir, "parsed_rows").select(
+        F.lit("parsed").alias("src"), F.col("parse_id").alias("row_key"), F.col("publisher_domain").alias("source"), F.col("parsed.abstract").alias("text")
+    )
+    return landed.unionByName(parsed)
+
+
+class _Spoilt:
+    """Residue or garbled text: what the problems of real, readable text leave to their own operators."""
+
+    def __init__(self, counts: dict[str, int], n: int) -> None:
+        self.counts, self.n, self.index = counts, n, None
+
+    def __call__(self, text: str) -> bool:
+        if self.index is None:
+            self.index = residue.Index(self.counts, self.n)
+        return self.index.score(text) >= residue.COVERED or garbled.repair(text)[0]
+
+    def __getstate__(self):
+        return {"counts": self.counts, "n": self.n, "index": None}
+
+
+def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every truncated abstract with its probability."""
+    texts = _abstracts(spark, sf_dir)
+    spoilt = _Spoilt(*residue.frequencies(texts, "text"))
+    return truncated.truncation_scores(texts, ["src", "row_key"], "text", "source", spoilt)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_scores(spark, sf_dir).select("src", "row_key")
+
+
+def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of truncated records per source, over all records that have an abstract."""
+    real = _abstracts(spark, sf_dir).where(~F.coalesce(F.lower(F.trim("text")), F.lit("")).isin("", "n/a", "na", "none"))
+    every = real.groupBy("source").agg(F.count("*").alias("n_records"))
+    cut = p1_scores(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_truncated"))
+    joined = every.join(cut, every["source"].eqNullSafe(cut["source"]), "left").select(every["source"], "n_records", F.coalesce("n_truncated", F.lit(0)).alias("n_truncated"))
+    return joined.withColumn("share", F.col("n_truncated") / F.col("n_records"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_scores(table(spark, sf_dir, "delta"), "row_id", "abstract").select("row_id")
+
+
+def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed rows without the residue: how many are left out and kept, per has_bot_check."""
+    rows = table(spark, sf_dir, "delta").select("row_id", F.col("has_bot_check"))
+    bad = residue.residue_scores(table(spark, sf_dir, "delta"), "row_id", "abstract")
+    flagged = rows.join(bad, "row_id", "left").withColumn("out", F.col("coverage").isNotNull())
+    return flagged.groupBy("has_bot_check", "out").agg(F.count("*").alias("n_rows"))
+
+
 def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled cells of delta with the text given back and whether characters stay lost."""
     return garbled.repair_cells(table(spark, sf_dir, "delta"), "row_id", ["abstract", "authors"])
@@ -18,5 +76,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_repaired(spark, sf_dir).select("row_id", "col")
 
 
-QUERIES = {"p7_found": p7_found, "p7_repaired": p7_repaired}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p5_found": p5_found, "p5_kept": p5_kept, "p7_found": p7_found, "p7_repaired": p7_repaired}
 ORACLE: dict[str, str] = {}
