@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import garbled, residue, truncated
+from sievewright.llm import garbled, residue, truncated, unify
 from sievewright.session import table
 
 
@@ -55,6 +55,32 @@ def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("share", F.col("n_truncated") / F.col("n_records"))
 
 
+def p3_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each parsed abstract beside the gold one of its record: the same string, the same look, or really different.
+
+    Only digests of the texts (128 bits of the whole text) go through the join, not the texts.
+    """
+
+    def side(df: DataFrame, keys: list[str], text: str, name: str) -> DataFrame:
+        raw = F.md5(F.regexp_replace(F.col("t"), r"(?U)^\s+|\s+$", ""))
+        chosen = df.select(*keys, F.col(text).alias("t")).where(F.col("t").isNotNull())
+        forms = unify.unify(chosen.withColumn("raw", raw), [*keys, "raw"], "t")
+        return forms.select(*keys, F.col("raw").alias(f"{name}_raw"), F.md5("skeleton").alias(f"{name}_look"), (F.col("skeleton") == "").alias(f"{name}_empty"))
+
+    gold = side(table(spark, sf_dir, "gold_rows"), ["rec_no"], "abstract", "gold")
+    parsed = side(table(spark, sf_dir, "parsed_rows"), ["rec_no", "parse_id"], "parsed.abstract", "parsed")
+    verdict = (
+        F.when(F.col("gold_raw") == F.col("parsed_raw"), "same")
+        .when((F.col("gold_look") == F.col("parsed_look")) & ~F.col("gold_empty"), "same look")
+        .otherwise("different")
+    )
+    return parsed.join(gold, "rec_no").select("rec_no", "parse_id", verdict.alias("verdict"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_compared(spark, sf_dir).where(F.col("verdict") == "same look").select("rec_no", "parse_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_scores(table(spark, sf_dir, "delta"), "row_id", "abstract").select("row_id")
 
@@ -76,5 +102,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_repaired(spark, sf_dir).select("row_id", "col")
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p5_found": p5_found, "p5_kept": p5_kept, "p7_found": p7_found, "p7_repaired": p7_repaired}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p3_found": p3_found, "p3_compared": p3_compared, "p5_found": p5_found, "p5_kept": p5_kept, "p7_found": p7_found, "p7_repaired": p7_repaired}
 ORACLE: dict[str, str] = {}
