@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import garbled, residue, truncated, unify
+from sievewright.llm import garbled, leak, residue, truncated, unify
 from sievewright.session import table
 
 
@@ -102,5 +102,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_repaired(spark, sf_dir).select("row_id", "col")
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p3_found": p3_found, "p3_compared": p3_compared, "p5_found": p5_found, "p5_kept": p5_kept, "p7_found": p7_found, "p7_repaired": p7_repaired}
+def p9_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents aligned with evaluation items, edited copies included."""
+    return leak.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_alignments(spark, sf_dir).where(F.col("longest_run") >= leak.RUN).select("doc_id", "item_id")
+
+
+def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items leaked, into how many documents."""
+    return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p3_found": p3_found, "p3_compared": p3_compared, "p5_found": p5_found, "p5_kept": p5_kept, "p9_found": p9_found, "p9_alignments": p9_alignments, "p9_leaked_items": p9_leaked_items, "p7_found": p7_found, "p7_repaired": p7_repaired}
 ORACLE: dict[str, str] = {}

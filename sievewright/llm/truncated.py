@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.session import arrow_map
+from sievewright.session import BROADCAST_ROWS, arrow_map
 
 #: Bound of the training sample, and size of the hashed feature space.
 TRAIN_TEXTS, SPACE = 6000, 1 << 16
@@ -222,6 +222,9 @@ def truncation_scores(
     base = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)], F.col(source).alias("source"), F.col(text).alias("t"))
     base = base.where(F.col("t").isNotNull())
     limits = source_limits(df, text, source)
+    held_limits = limits.limit(BROADCAST_ROWS + 1).collect()
+    if len(held_limits) <= BROADCAST_ROWS:  # so the texts are not shuffled, and a source with many rows stays spread
+        limits = F.broadcast(df.sparkSession.createDataFrame(held_limits, limits.schema))
     joined = base.join(limits, base["source"].eqNullSafe(limits["source"]), "left").select(
         *[f"k{i}" for i in range(len(key))], base["source"], "t", "cut_at"
     )
