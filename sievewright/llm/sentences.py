@@ -31,7 +31,7 @@ TOP = 0x110000
 NEVER = """
 dr mrs mr ms prof st fig figs vol vols sec secs pp pag ver approx eq eqs ref refs ed eds cf vs al e.g i.e resp incl est ca viz jr sr dept univ gen
 vgl abb bzw tab nr bd hrsg evtl ggf sog usw.a z.b d.h u.a s.o
-mme mmes mlle mm dra sra sres srta pág págs núm cap art tj m.in np por rys ok mgr inż hab
+mme mmes mlle mm mgr dra sra sres srta sr srs profa drs pe eng exmo pág págs núm cap art tj m.in np por rys ok mgr inż hab
 dott prof.ssa ing cfr pag sig
 örn bkz haz çev yrd doç
 mis gbr hlm tgl
@@ -208,6 +208,7 @@ def symbols(cp: np.ndarray, row: np.ndarray) -> np.ndarray:
     stop = cp == 46
     outside = np.where((letter | stop) & ~first, -1, index)
     token_start = np.maximum.accumulate(outside)  # the last place at or before i that is no letter or stop, or begins a row
+    letters_start = np.maximum.accumulate(np.where(letter & ~first, -1, index))
     no_letter = np.where(letter, n, index)
     token_end = np.minimum.accumulate(no_letter[::-1])[::-1]
     row_end = np.where(last, index + 1, n)
@@ -221,6 +222,9 @@ def symbols(cp: np.ndarray, row: np.ndarray) -> np.ndarray:
         a = np.where(first[dots], dots, a)
         size = dots - a
         name = (sums[dots] - sums[a]) * inverse[a]
+        b = letters_start[prior]
+        b = np.minimum(np.where(letter[b], b, b + 1), dots)
+        short_name = (sums[dots] - sums[b]) * inverse[b]  # the letters alone, where a space before them is missing
         nxt = after[dots]
         spaced = np.minimum(dots + 1, n - 1)
         # the first character after the spaces that follow
@@ -236,7 +240,7 @@ def symbols(cp: np.ndarray, row: np.ndarray) -> np.ndarray:
         prev_digit = digit[prior] & ~first[dots]
         next_letter = t["letter"][nxt]
         single = (size == 1) & letter[prior] & ~first[dots] & ~t["cjk"][cp[prior]]
-        never = (size > 0) & _in(name, ls["never"])
+        never = (size > 0) & (_in(name, ls["never"]) | (dots - b > 1) & _in(short_name, ls["never"]))
         number = (size > 0) & next_digit & _in(name, ls["number"])
         maybe = (size > 0) & _in(name, ls["maybe"])
         many = (nxt == 46) | (before[dots] == 46)
@@ -244,8 +248,10 @@ def symbols(cp: np.ndarray, row: np.ndarray) -> np.ndarray:
         # a number at the start of a line, and ordinals before a month
         number_start = np.maximum.accumulate(np.where((digit | stop) & ~first, -1, index))[prior]
         number_start = np.where(digit[number_start], number_start, number_start + 1)
-        line = (before[np.minimum(number_start, n - 1)] == 10) | first[np.minimum(number_start, n - 1)]
-        listed = prev_digit & line & (dots - number_start < 6)
+        number_start = np.minimum(number_start, n - 1)
+        feed = np.maximum(number_start - 1, 0)
+        blank = (before[number_start] == 10) & ((before[feed] == 10) | first[feed])  # after a blank line, or at the start
+        listed = prev_digit & (blank | first[number_start]) & (dots - number_start < 6)
         thai_stop = thai[prior] & (size < 4)
         out = np.full(len(dots), TERM)
         glued = next_letter & (t["upper"][nxt]) & ((size > 1) | prev_digit | ~letter[prior])
