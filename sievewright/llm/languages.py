@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import sentences as sent
-from sievewright.llm.truncated import closed, has_trailer, trimmed
+from sievewright.llm.truncated import closed, trimmed
 from sievewright.session import arrow_map
 
-STRIDE, HIDDEN = 4, 24
-PER_LANGUAGE, STEPS, BATCH, WINDOW = 160, 420, 64, 56
+STRIDE, HIDDEN = 6, 24
+PER_LANGUAGE, STEPS, BATCH, WINDOW = 160, 420, 64, 40
 #: A sentence in another language than the text's main one needs this mean gain of log-probability per position.
 MARGIN, LEAST_BYTES = 0.35, 16
 _BLANK = ("", "n/a", "na", "none", "null")
@@ -145,6 +145,12 @@ class Network:
         return loss, grad
 
 
+def _bytes(text: str) -> bytes:
+    """The bytes the network reads: without regard to case where that keeps every byte in its place."""
+    low, raw = text.lower().encode(), text.encode()
+    return low if len(low) == len(raw) else raw
+
+
 def _steps(raw: bytes) -> np.ndarray:
     """Bytes as rows of STRIDE, padded with zeros."""
     n = max(1, -(-len(raw) // STRIDE))
@@ -155,7 +161,7 @@ def _steps(raw: bytes) -> np.ndarray:
 
 def _pieces(text: str) -> list[bytes]:
     """Windows of a training text."""
-    raw = text.encode()
+    raw = _bytes(text)
     size = WINDOW * STRIDE
     return [raw[i : i + size] for i in range(0, max(1, len(raw) - size // 2), size)]
 
@@ -205,7 +211,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 11, steps: int = STEPS) -> N
 
 def position_scores(net: Network, texts: list[str], block: int = 768) -> list[np.ndarray]:
     """Cumulative log-probabilities over the positions of every text (one row more than positions)."""
-    encoded = [_steps(t.encode()) for t in texts]
+    encoded = [_steps(_bytes(t)) for t in texts]
     order = sorted(range(len(texts)), key=lambda i: len(encoded[i]))
     out: list[np.ndarray] = [np.zeros((1, len(net.labels)))] * len(texts)
     at = 0
@@ -243,11 +249,14 @@ def segments(net: Network, texts: list[str]) -> list[list[Segment]]:
 def _judge(net: Network, text: str, spans: list[tuple[int, int]], scores: np.ndarray) -> list[Segment]:
     if not spans:
         return []
-    ascii_text = text.isascii()
+    place = None
+    if not text.isascii():
+        cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        place = np.r_[0, np.cumsum(1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000))]
     main = int(scores[-1].argmax())
     out: list[list] = []
     for k, (a, b) in enumerate(spans):
-        lo, hi = (a, b) if ascii_text else (len(text[:a].encode()), len(text[:b].encode()))
+        lo, hi = (a, b) if place is None else (int(place[a]), int(place[b]))
         p, q = lo // STRIDE, max(lo // STRIDE + 1, -(-hi // STRIDE))
         q = min(q, len(scores) - 1)
         p = min(p, q - 1)
@@ -255,10 +264,11 @@ def _judge(net: Network, text: str, spans: list[tuple[int, int]], scores: np.nda
         best = int(total.argmax())
         if best != main and (hi - lo < LEAST_BYTES or (total[best] - total[main]) / (q - p) < MARGIN):
             best = main
-        piece = trimmed(text[a:b])
-        whole = hi - lo >= LEAST_BYTES and (closed(piece) or bool(sent.tables()["thai"][ord(piece[-1])]) or k + 1 < len(spans)) and not (
-            k + 1 == len(spans) and has_trailer(piece) and not closed(piece)
-        )
+        # the last piece is a whole sentence only if it is closed; keywords, imprints and cut ends are not
+        whole = hi - lo >= LEAST_BYTES
+        if whole and k + 1 == len(spans):
+            piece = trimmed(text[a:b])
+            whole = closed(piece) or bool(piece) and bool(sent.tables()["thai"][ord(piece[-1])])
         mean = float(np.exp(total[best] / (q - p)))
         if out and out[-1][2] == net.labels[best]:
             n, size = out[-1][5], q - p
@@ -268,6 +278,9 @@ def _judge(net: Network, text: str, spans: list[tuple[int, int]], scores: np.nda
             out[-1][5] += size
         else:
             out.append([a, b, net.labels[best], mean, whole, q - p])
+    if not any(s[4] for s in out):  # no whole sentence: the piece of the main language, if any, stands for the text
+        for s in out:
+            s[4] = s[2] == net.labels[main]
     return [tuple(s[:5]) for s in out]
 
 
@@ -285,24 +298,26 @@ def sample(docs: DataFrame, text: str, lang: str, per_language: int = PER_LANGUA
     return sorted((r["lang"], r["t"][:6000]) for r in picked.limit(bound).collect())
 
 
-def label_texts(df: DataFrame, key: str, text: str, net: Network) -> DataFrame:
-    """One row per stretch of one language: key, `seg_no`, `char_start`, `char_end`, `lang`, `confidence`, `whole`."""
-    kind = dict(df.dtypes)[key]
-    chosen = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(
-        F.col("t").isNotNull() & ~F.lower(F.trim(F.regexp_replace("t", r"\s+", " "))).isin(*_BLANK)
+def label_texts(df: DataFrame, keys: list[str], text: str, net: Network | None) -> DataFrame:
+    """One row per text that is not null, blank or N/A: the key columns, `text`, `langs` (languages with a whole sentence,
+    in the order of the alphabet) and `segments` (stretches of one language with their confidence). Further columns are ignored.
+    """
+    chosen = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("t")).where(
+        F.col("t").isNotNull() & ~F.lower(F.regexp_replace("t", r"^\s+|\s+$", "")).isin(*_BLANK)
     )
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = segments(net, batch.column(1).to_pylist())
-        where = [i for i, s in enumerate(found) for _ in s]
-        flat = [x for s in found for x in s]
-        number = [k for s in found for k in range(len(s))]
-        columns = list(zip(*flat, strict=True)) if flat else [[]] * 5
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_()]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(where, pa.int64())), pa.array(number, pa.int32()), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]],
-            ["k", "seg_no", "char_start", "char_end", "lang", "confidence", "whole"],
-        )
-
-    schema = f"k {kind}, seg_no int, char_start int, char_end int, lang string, confidence double, whole boolean"
-    return arrow_map(chosen, kernel, schema).withColumnRenamed("k", key)
+    kinds = dict(chosen.dtypes)
+    part = pa.struct([("char_start", pa.int32()), ("char_end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())])
+    names = [*[f"k{i}" for i in range(len(keys))], "text", "langs", "segments"]
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        if net is None:
+            return None
+        found = segments(net, batch.column(len(keys)).to_pylist())
+        langs = pa.array([sorted({s[2] for s in row if s[4]}) for row in found], pa.list_(pa.string()))
+        spans = pa.array([[dict(zip(("char_start", "char_end", "lang", "confidence"), s[:4], strict=True)) for s in row] for row in found], pa.list_(part))
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 1], langs, spans], names)
+
+    schema = "".join(f"k{i} {kinds[f'k{i}']}, " for i in range(len(keys)))
+    schema += "text string, langs array<string>, segments array<struct<char_start:int,char_end:int,lang:string,confidence:double>>"
+    out = arrow_map(chosen, kernel, schema)
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "text", "langs", "segments")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import garbled, leak, residue, truncated, unify
-from sievewright.session import table
+from sievewright.llm import garbled, languages, leak, residue, sentences, truncated, unify
+from sievewright.session import arrow_map, table
 
 
 def _abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,45 @@ def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("share", F.col("n_truncated") / F.col("n_records"))
 
 
+def _network(spark: SparkSession, sf_dir: str) -> languages.Network | None:
+    """Trained on a bounded sample of the labelled documents."""
+    return languages.fit(languages.sample(table(spark, sf_dir, "documents"), "text", "lang"))
+
+
+def _readable(df: DataFrame, text: str, spoilt: _Spoilt) -> DataFrame:
+    """The rows whose text is neither residue nor garbled."""
+
+    def kernel(batch):
+        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        return batch.take(pa.array([i for i, t in enumerate(texts) if not spoilt(t)], pa.int64()))
+
+    return arrow_map(df, kernel, df.schema)
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of one language of every abstract, with its confidence."""
+    rows = languages.label_texts(table(spark, sf_dir, "delta"), ["row_id"], "abstract", _network(spark, sf_dir))
+    parts = rows.select("row_id", F.posexplode("segments").alias("seg_no", "s"))
+    return parts.select("row_id", "seg_no", "s.char_start", "s.char_end", "s.lang", "s.confidence")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of the abstracts whose label is missing or wrong, or that mix languages."""
+    delta = table(spark, sf_dir, "delta")
+    rows = languages.label_texts(delta, ["row_id", "no_english"], "abstract", _network(spark, sf_dir))
+    label = F.lower(F.trim(F.coalesce("no_english", F.lit(""))))
+    yes, no = label.isin("true", "yes", "y", "1", "t"), label.isin("false", "no", "n", "0", "f")
+    english = F.array_contains("langs", "en")
+    wrong = ~(yes | no) | (yes & english) | (no & ~english) | (F.size("langs") > 1)
+    chosen = rows.where((F.size("langs") > 0) & wrong).select("row_id", "text", "langs")
+    spoilt = _Spoilt(*residue.frequencies(delta, "abstract"))
+    return _readable(chosen, "text", spoilt).select("row_id", F.explode("langs").alias("lang"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p3_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each parsed abstract beside the gold one of its record: the same string, the same look, or really different.
 
@@ -116,5 +156,5 @@ def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p3_found": p3_found, "p3_compared": p3_compared, "p5_found": p5_found, "p5_kept": p5_kept, "p9_found": p9_found, "p9_alignments": p9_alignments, "p9_leaked_items": p9_leaked_items, "p7_found": p7_found, "p7_repaired": p7_repaired}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p2_found": p2_found, "p2_segments": p2_segments, "p10_found": p10_found, "p3_found": p3_found, "p3_compared": p3_compared, "p5_found": p5_found, "p5_kept": p5_kept, "p9_found": p9_found, "p9_alignments": p9_alignments, "p9_leaked_items": p9_leaked_items, "p7_found": p7_found, "p7_repaired": p7_repaired}
 ORACLE: dict[str, str] = {}
