@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import garbled, languages, leak, residue, sentences, truncated, unify
+from sievewright.llm import garbled, languages, leak, residue, sentences, truncated, unify, variants
 from sievewright.session import arrow_map, table
 
 
@@ -91,6 +91,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _readable(chosen, "text", spoilt).select("row_id", F.explode("langs").alias("lang"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of entries of one person, and the organisations that affiliation entries name."""
+    members, places = variants.linked(table(spark, sf_dir, "gold_rows"), table(spark, sf_dir, "orgs"))
+    left, right = members.withColumnRenamed("key", "id_a"), members.withColumnRenamed("key", "id_b")
+    pairs = left.join(right, "person").where("id_a < id_b").select(F.lit("person").alias("kind"), "id_a", "id_b").distinct()
+    named = places.select(F.lit("organisation").alias("kind"), F.col("org").alias("id_a"), (F.col("key") * 10 + F.col("aff_pos")).alias("id_b"))
+    return pairs.unionByName(named.distinct())
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -156,5 +165,5 @@ def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p2_found": p2_found, "p2_segments": p2_segments, "p10_found": p10_found, "p3_found": p3_found, "p3_compared": p3_compared, "p5_found": p5_found, "p5_kept": p5_kept, "p9_found": p9_found, "p9_alignments": p9_alignments, "p9_leaked_items": p9_leaked_items, "p7_found": p7_found, "p7_repaired": p7_repaired}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p2_found": p2_found, "p2_segments": p2_segments, "p10_found": p10_found, "p4_found": p4_found, "p3_found": p3_found, "p3_compared": p3_compared, "p5_found": p5_found, "p5_kept": p5_kept, "p9_found": p9_found, "p9_alignments": p9_alignments, "p9_leaked_items": p9_leaked_items, "p7_found": p7_found, "p7_repaired": p7_repaired}
 ORACLE: dict[str, str] = {}
