@@ -2,7 +2,8 @@
 
 The scan works on the bytes of Arrow string buffers. For a whole batch it computes, without a loop over rows,
   - quote parity and bracket depth of every byte, counted from the start of its row,
-  - masks of the bytes that divide (semicolon, bar, tab, line break, spaced slash, comma between quoted values),
+  - masks of the bytes that divide (semicolon, bar, tab, line break, spaced slash, comma between quoted values, the
+    space before the next mark of a numbered list),
 and turns the surviving delimiters into child offsets of one list array, which is flattened with parent ordinals.
 
 Defined cases: null, empty or blank text gives no value; unbalanced quotes in a row count as ordinary characters;
@@ -26,7 +27,7 @@ from sievewright.session import arrow_map
 MARK = re.compile(r"^(?:[-*•·‣▪◦–—]\s+|\(\d{1,3}\)\s*|\d{1,3}\)\s*|\d{1,3}\.\s+)")
 PAIRS = {'"': '"', "“": "”", "«": "»", "„": "“"}
 #: Texts without one of these characters hold one value; Spark drops them before Python sees them.
-MAY_DIVIDE = r"[;|\t\n\r/,；｜¦]"
+MAY_DIVIDE = r"[;|\t\n\r/,；｜¦]|\s\(?2[.)]\s"
 
 
 def _sequence(data: np.ndarray, *units: str) -> np.ndarray:
@@ -57,6 +58,48 @@ def _depth(opens: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
     return rel - np.minimum(low, 0)
 
 
+def _numbered(data: np.ndarray, row: np.ndarray, first: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Mask of the spaces before the marks (2), (3) ... of a list written in one line that begins with its mark (1).
+
+    The marks are "(n)", "n)" or "n."; they count only if they are of one style and go on one by one.
+    """
+    n = len(data)
+    found = np.zeros(n, bool)
+    tail = np.r_[data, np.zeros(5, np.uint8)]
+    edge = np.r_[True, space[:-1]] | first
+    filled = ~space
+    at_head = np.zeros(n, bool)
+    seen = np.cumsum(filled)
+    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    at_head[filled & (seen - seen[begin] + filled[begin] == 1)] = True
+    index = np.flatnonzero(edge & filled)
+    opened = (tail[index] == 40).astype(np.int64)
+    d1, d2 = tail[index + opened].astype(np.int64) - 48, tail[index + opened + 1].astype(np.int64) - 48
+    digit1, digit2 = (d1 >= 0) & (d1 < 10), (d2 >= 0) & (d2 < 10)
+    value = np.where(digit2, d1 * 10 + d2, d1)
+    end = tail[np.minimum(index + opened + 1 + digit2, n + 3)]
+    after = tail[np.minimum(index + opened + 2 + digit2, n + 4)]
+    mark = digit1 & ((end == 41) | (end == 46) & (opened == 0)) & (after == 32)
+    index, value = index[mark], value[mark]
+    style = opened[mark] * 2 + (end[mark] == 41)
+    if not len(index):
+        return found
+    which = row[index]
+    heads = at_head[index] & (value == 1)
+    if not heads.any():
+        return found
+    head_style = np.full(int(row[-1]) + 1, -1)
+    head_style[which[heads]] = style[heads]
+    same = head_style[which] == style
+    index, value, which = index[same], value[same], which[same]
+    start = np.r_[True, which[1:] != which[:-1]]
+    rank = np.arange(len(which)) - np.maximum.accumulate(np.where(start, np.arange(len(which)), 0))
+    wrong = np.bincount(which, value != rank + 1, int(row[-1]) + 1)
+    good = (wrong[which] == 0) & (rank > 0)
+    found[index[good] - 1] = True
+    return found
+
+
 def divide(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends (byte positions in data) and row ordinals of the raw values of each text."""
     lo, hi = int(offsets[0]), int(offsets[-1])
@@ -115,6 +158,7 @@ def divide(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         here = _sequence(data, unit)
         for k in range(len(unit.encode())):
             divides |= np.r_[np.zeros(k, bool), here[: n - k]]
+    divides |= _numbered(data, row, index == offsets[:-1][row], space)
     divides &= ~inside
 
     # each run of bytes between delimiters or row borders is one raw value
