@@ -94,7 +94,8 @@ def similar_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
     # the groups of one q-gram hold distinct tokens that have it among their rarest; their size follows the vocabulary
     pairs = prefix(a, "a").join(prefix(b, "b"), "g").where(F.abs(F.length("a") - F.length("b")) < 2).select("a", "b").distinct()
     edits = F.levenshtein("a", "b")
-    verified = pairs.withColumn("e", edits).where((F.col("e") <= 1) | ((F.col("e") == 2) & (_letters(F.col("a")) == _letters(F.col("b")))))
+    swapped = (edits == 2) & (_letters(F.col("a")) == _letters(F.col("b")))  # two neighbours exchanged count as one slip
+    verified = pairs.withColumn("e", F.when(swapped, 1).otherwise(edits)).where("e <= 1")
     return verified.select("a", "b", (1 - F.col("e") / F.greatest(F.length("a"), F.length("b"))).alias("sim"))
 
 
