@@ -6,8 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import garbled, languages, leak, residue, sentences, truncated, unify, variants
-from sievewright.session import arrow_map, table
+from sievewright.llm import garbled, languages, leak, packing, residue, sentences, truncated, unify, variants
+from sievewright.session import arrow_map, cut, table
 
 
 def _abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +151,35 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_repaired(spark, sf_dir).select("row_id", "col")
 
 
+def _capacities(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The permitted capacities: a table of a few rows."""
+    rows = table(spark, sf_dir, "pack_limits").select("capacity_tokens").distinct().limit(1000).collect()
+    return sorted(r["capacity_tokens"] for r in rows)
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in containers of the permitted capacities, chosen jointly."""
+    counts = packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack_texts(cut(counts), "doc_id", _capacities(spark, sf_dir))
+
+
+def p8_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in containers of one capacity, for each permitted capacity by itself."""
+    counts = cut(packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    parts = [packing.pack_texts(counts, "doc_id", [c]) for c in _capacities(spark, sf_dir)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, items, tokens and fill of each capacity, jointly packed."""
+    per = p8_packed(spark, sf_dir).groupBy("capacity", "container").agg(F.count("*").alias("k"), F.sum(F.col("token_end") - F.col("token_start")).alias("n"))
+    out = per.groupBy("capacity").agg(F.count("*").alias("n_containers"), F.sum("k").alias("n_items"), F.sum("n").alias("n_tokens"))
+    return out.withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
+
+
 def p9_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents aligned with evaluation items, edited copies included."""
     return leak.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
@@ -165,5 +194,5 @@ def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p2_found": p2_found, "p2_segments": p2_segments, "p10_found": p10_found, "p4_found": p4_found, "p3_found": p3_found, "p3_compared": p3_compared, "p5_found": p5_found, "p5_kept": p5_kept, "p9_found": p9_found, "p9_alignments": p9_alignments, "p9_leaked_items": p9_leaked_items, "p7_found": p7_found, "p7_repaired": p7_repaired}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p2_found": p2_found, "p2_segments": p2_segments, "p10_found": p10_found, "p4_found": p4_found, "p3_found": p3_found, "p3_compared": p3_compared, "p5_found": p5_found, "p5_kept": p5_kept, "p8_packed": p8_packed, "p8_each": p8_each, "p8_fill": p8_fill, "p9_found": p9_found, "p9_alignments": p9_alignments, "p9_leaked_items": p9_leaked_items, "p7_found": p7_found, "p7_repaired": p7_repaired}
 ORACLE: dict[str, str] = {}
