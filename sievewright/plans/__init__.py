@@ -1,6 +1,6 @@
 """Registered queries of the core: name -> callable(spark, sf_dir), and their SQL where SQL can say it."""
 
-from sievewright.plans import packed
+from sievewright.plans import packed, scores, tables
 
-QUERIES = {**packed.QUERIES}
-ORACLE = {**packed.ORACLE}
+QUERIES = {**packed.QUERIES, **tables.QUERIES, **scores.QUERIES}
+ORACLE = {**packed.ORACLE, **tables.ORACLE, **scores.ORACLE}
