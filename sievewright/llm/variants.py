@@ -80,23 +80,26 @@ def similar_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
     A slip is one letter more, less or another, or two neighbours exchanged; it spoils at most Q + 1 q-grams, so the
     PREFIX = Q + 2 rarest q-grams of both tokens share one. Equal tokens have similarity 1.
     """
-    a = left.toDF("a").where(F.length("a") > 3).distinct()
-    b = right.toDF("b").where(F.length("b") > 3).distinct()
-    weights = (
-        a.select(F.explode(_grams(F.col("a"))).alias("g")).unionAll(b.select(F.explode(_grams(F.col("b"))).alias("g"))).groupBy("g").agg(F.count("*").alias("df"))
-    )
+    one = left is right
+    a = cut(left.toDF("a").where(F.length("a") > 3).distinct())
+    b = a.toDF("b") if one else cut(right.toDF("b").where(F.length("b") > 3).distinct())
+    # the order of q-grams, rarest first, counted over the vocabulary that is searched
+    weights = cut(b.select(F.explode(_grams(F.col("b"))).alias("g")).groupBy("g").agg(F.count("*").alias("df")))
 
     def prefix(df: DataFrame, name: str) -> DataFrame:
-        spread = df.select(name, F.explode(_grams(F.col(name))).alias("g")).join(weights, "g")
+        # q-grams that the searched vocabulary lacks cannot be shared and come first
+        spread = df.select(name, F.explode(_grams(F.col(name))).alias("g")).join(weights, "g", "left").withColumn("df", F.coalesce("df", F.lit(0)))
         rarest = F.slice(F.array_sort(F.collect_list(F.struct("df", "g"))), 1, PREFIX)  # of one token: bounded by its length
         return spread.groupBy(name).agg(rarest.alias("p")).select(name, F.explode("p.g").alias("g"))
 
     # the groups of one q-gram hold distinct tokens that have it among their rarest; their size follows the vocabulary
-    pairs = prefix(a, "a").join(prefix(b, "b"), "g").where(F.abs(F.length("a") - F.length("b")) < 2).select("a", "b").distinct()
+    posted = prefix(a, "a")
+    posted = cut(posted) if one else posted
+    pairs = posted.join(posted.toDF("b", "g") if one else prefix(b, "b"), "g").where(F.abs(F.length("a") - F.length("b")) < 2).select("a", "b").distinct()
     edits = F.levenshtein("a", "b")
     swapped = (edits == 2) & (_letters(F.col("a")) == _letters(F.col("b")))  # two neighbours exchanged count as one slip
     verified = pairs.withColumn("e", F.when(swapped, 1).otherwise(edits)).where("e <= 1")
-    return verified.select("a", "b", (1 - F.col("e") / F.greatest(F.length("a"), F.length("b"))).alias("sim"))
+    return cut(verified.select("a", "b", (1 - F.col("e") / F.greatest(F.length("a"), F.length("b"))).alias("sim")))
 
 
 def _words(c: Column) -> Column:
@@ -110,18 +113,18 @@ def _words(c: Column) -> Column:
 
 def link_organisations(values: DataFrame, value: str, orgs: DataFrame, org_key: str, org_name: str) -> DataFrame:
     """One row (`value`, `org`, `score`) per distinct text that names an organisation of the registry."""
-    registry = orgs.select(F.col(org_key).alias("org"), _words(F.col(org_name)).alias("tokens")).where(F.col("tokens").isNotNull())
+    registry = cut(orgs.select(F.col(org_key).alias("org"), _words(F.col(org_name)).alias("tokens")).where(F.col("tokens").isNotNull()))
     n = max(1, registry.count())
     counts = registry.select("org", F.explode("tokens").alias("t")).where(F.length("t") > 2)
     df = counts.groupBy("t").agg(F.count("*").alias("df"))
-    spread = counts.join(df, "t").withColumn("w", F.log(F.lit(1 + n) / F.col("df")))
+    spread = cut(counts.join(df, "t").withColumn("w", F.log(F.lit(1 + n) / F.col("df"))))
     places = spread.where((F.col("df") <= max(2, COMMON_SHARE * n))).select("org", F.col("t").alias("b"), F.col("w"))
     kinds = (
         spread.where((F.col("df") > max(2, COMMON_SHARE * n)) & ~F.col("t").isin("the", "for", "and", "von", "der", "del"))
         .groupBy("org")
         .agg(F.collect_set("t").alias("kinds"), F.sum("w").alias("kinds_w"))
     )
-    texts = values.select(F.col(value).alias("value")).where(F.trim("value") != "").distinct().select("value", _words(F.col("value")).alias("tokens"))
+    texts = cut(values.select(F.col(value).alias("value")).where(F.trim("value") != "").distinct().select("value", _words(F.col("value")).alias("tokens")))
     words = texts.select("value", F.explode("tokens").alias("a"))
     alike = similar_tokens(words.select("a"), places.select("b"))
     found = words.join(alike, "a").join(places, "b").groupBy("value", "org", "b", "w").agg(F.max("sim").alias("sim"))
@@ -130,9 +133,9 @@ def link_organisations(values: DataFrame, value: str, orgs: DataFrame, org_key:
     judged = placed.join(total, "org").join(kinds, "org", "left").join(texts, "value")
     judged = judged.where(F.size(F.array_except(F.coalesce("kinds", F.array()), F.col("tokens"))) == 0)
     kinds_w = F.coalesce("kinds_w", F.lit(0.0))
-    scored = judged.withColumn("score", (F.col("got") + kinds_w) / (F.col("place_w") + kinds_w)).where(F.col("score") >= LEAST_ORG)
+    scored = cut(judged.withColumn("score", (F.col("got") + kinds_w) / (F.col("place_w") + kinds_w)).where(F.col("score") >= LEAST_ORG).select("value", "org", "score", (F.col("place_w") + kinds_w).alias("mass")))
     # the best organisations of a text: one struct a text, so no window over a hot text is needed
-    best = scored.groupBy("value").agg(F.max(F.struct("score", F.col("place_w") + kinds_w)).alias("best"))
+    best = scored.groupBy("value").agg(F.max(F.struct("score", "mass")).alias("best"))
     return scored.join(best, "value").where((F.col("score") == F.col("best.score"))).select("value", "org", "score")
 
 
@@ -152,11 +155,11 @@ def parsed_names(authors: DataFrame, key: str, name: str) -> DataFrame:
     parts = parts.where(F.size("h") + F.size("t") > 0)
     first, last = F.element_at("h", 1), F.element_at("h", -1)
     clear = F.col("comma") | (F.size("h") < 2)
-    shaped = parts.select(
+    shaped = cut(parts.select(
         "key", "ini", clear.alias("clear"),
         F.when(F.size("h") > 0, last).otherwise(F.element_at("t", 1)).alias("y"),
         F.when(F.col("comma"), F.when(F.size("t") > 0, F.element_at("t", 1))).otherwise(F.when(F.size("h") > 1, first)).alias("x"),
-    )
+    ))
     # in which role each token stands where the order is clear: counted over all names
     roles = (
         shaped.where("clear").select(F.explode(F.array(F.struct(F.col("y").alias("t"), F.lit(1).alias("s")), F.struct(F.col("x").alias("t"), F.lit(-1).alias("s")))).alias("r"))
@@ -217,9 +220,9 @@ def assign(variants: list[tuple[str | None, str, int]]) -> list[str | None]:
 
 def people(names: DataFrame, places: DataFrame) -> DataFrame:
     """Membership (`person`, `key`): names (key, surname, given, initials) and places (key, org) of the entries."""
-    at = names.join(places.select("key", "org").distinct(), "key")
+    at = cut(names.join(places.select("key", "org").distinct(), "key"))
     # a surname spelled with a slip joins the most frequent similar surname of its organisation
-    counts = at.groupBy("org", "surname").agg(F.count("*").alias("n"))
+    counts = cut(at.groupBy("org", "surname").agg(F.count("*").alias("n")))
     vocabulary = counts.select("surname").distinct()
     alike = similar_tokens(vocabulary, vocabulary).where("a <> b")
     near = counts.join(alike, counts["surname"] == alike["a"]).select("org", "surname", F.col("b").alias("other"))
@@ -228,7 +231,7 @@ def people(names: DataFrame, places: DataFrame) -> DataFrame:
     spelled = counts.join(best, ["org", "surname"], "left").select(
         "org", "surname", F.when((F.col("top.m") > F.col("n")) | ((F.col("top.m") == F.col("n")) & (F.col("top.other") < F.col("surname"))), F.col("top.other")).otherwise(F.col("surname")).alias("name")
     )
-    member = at.join(spelled, ["org", "surname"])
+    member = cut(at.join(spelled, ["org", "surname"]))
     # distinct spellings of one surname at one organisation; their number follows spelling, not the number of records
     variants = member.groupBy("org", "name", "given", "initials").agg(F.count("*").alias("n"))
     grouped = variants.groupBy("org", "name").agg(F.array_sort(F.collect_list(F.struct("given", "initials", "n"))).alias("v"))
