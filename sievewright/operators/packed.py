@@ -156,8 +156,8 @@ def divide(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     divides |= single | double | double_end | comma
     for unit in ("；", "｜", "¦"):
         here = _sequence(data, unit)
-        for k in range(len(unit.encode())):
-            divides |= np.r_[np.zeros(k, bool), here[: n - k]]
+        for k in range(min(n, len(unit.encode()))):
+            divides[k:] |= here[: n - k]
     divides |= _numbered(data, row, index == offsets[:-1][row], space)
     divides &= ~inside
 
