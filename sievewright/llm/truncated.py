@@ -50,6 +50,8 @@ _TRAILER = re.compile(
     )$""",
     re.X | re.S | re.I,
 )
+#: What is put after intact texts in training, so that each kind of ending is known.
+TRAILERS = ("\nKeywords: soil; yield", " Key words: wells, rivers", " doi:10.1000/182", " © The authors", " (C) 2019 City Press", " JEL: Q12", " [City Reports, vol. 4]")
 _ENTITY = re.compile(r"&#?\w{1,7}$")
 _MARKED = re.compile(r"(?:…|\.\.\.?|\[(?:…|\.\.\.)\]|\((?:more|continued|cont\.)\)|&hellip;?|&#8230;?|Read more)$", re.I)
 _UNSPACED = re.compile(r"[฀-໿က-႟ក-៿]")
@@ -81,6 +83,8 @@ def features(text: str, at_limit: bool) -> list[int]:
     body = text.rstrip(CLOSERS)
     last = body[-1:] or " "
     shut = last in ENDS
+    if has_trailer(text):  # what stands at the very end is no closing of a sentence
+        return [zlib.crc32(n.encode()) % SPACE for n in ("k", f"k{_MARKED.search(text) is not None}{_ENTITY.search(tail) is not None}")]
     names = [f"c{tail[-1:]}", f"d{tail[-2:]}", f"e{tail[-3:]}", f"s{shut}"]
     names.append(f"m{bool(_MARKED.search(text))}{bool(_ENTITY.search(tail))}")
     names.append(f"q{_open(text)}{shut}")
@@ -92,7 +96,6 @@ def features(text: str, at_limit: bool) -> list[int]:
         names.append(f"w{token.lower()}" if len(token) < 6 else "w+")
         names.append("n" + re.sub(r"\w", "a", re.sub(r"\d", "0", token[-6:])))
     names.append(f"l{at_limit}")
-    names.append(f"k{has_trailer(text)}")
     return [zlib.crc32(n.encode()) % SPACE for n in names]
 
 
@@ -156,6 +159,8 @@ def fit(texts: list[str], seed: int = 7, epochs: int = 12) -> Model:
         if not (closed(text) or has_trailer(text) or thai) or _open(text) or _MARKED.search(text):
             continue
         rows.append((features(text, rng.random() < 0.01), 0))
+        if rng.random() < 0.2:  # an intact text with what may follow one
+            rows.append((features(text + rng.choice(TRAILERS), False), 0))
         rows += [(features(piece, rng.random() < 0.3), 1) for piece in cuts(text, rng)]
     weights = np.zeros(SPACE)
     if not rows:

@@ -29,7 +29,7 @@ Q, PREFIX = 3, 5
 #: Tokens in more than this share of a registry's names are kinds; the rest are places.
 COMMON_SHARE = 0.02
 #: Least soft weighted similarity of an organisation.
-LEAST_ORG = 0.9
+LEAST_ORG = 0.8
 #: Short forms of given names (fixed values: short form, name).
 SHORT_FORMS = """
 abdul abdurrahman, alex alexander, sasha alexander, andy andrew, ben benjamin, bella isabella, beppe giuseppe, beth elizabeth, betty elizabeth, bill william,
