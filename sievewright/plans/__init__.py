@@ -1,6 +1,6 @@
 """Registered queries of the core: name -> callable(spark, sf_dir), and their SQL where SQL can say it."""
 
-from sievewright.plans import packed, scores, tables
+from sievewright.plans import packed, pages, scores, streams, tables
 
-QUERIES = {**packed.QUERIES, **tables.QUERIES, **scores.QUERIES}
-ORACLE = {**packed.ORACLE, **tables.ORACLE, **scores.ORACLE}
+QUERIES = {**packed.QUERIES, **tables.QUERIES, **scores.QUERIES, **pages.QUERIES, **streams.QUERIES}
+ORACLE = {**packed.ORACLE, **tables.ORACLE, **scores.ORACLE, **pages.ORACLE, **streams.ORACLE}
