@@ -12,8 +12,13 @@ from sievewright.session import shared_dir
 
 
 def log_stream(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 64) -> DataFrame:
-    """New files of a Parquet log as a stream; at most per_trigger files a micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    """New files of a Parquet log as a stream; at most per_trigger files a micro-batch. A log of one file is read from its folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def status_counts(stream: DataFrame, status: str) -> DataFrame:
