@@ -74,32 +74,38 @@ def _letters(token: Column) -> Column:
     return F.array_sort(F.split(token, ""))
 
 
-def similar_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (`a`, `b`, `sim`) of tokens of two one-column vocabularies that differ by at most one typing slip.
+def similar_tokens(left: DataFrame, right: DataFrame, within: str | None = None) -> DataFrame:
+    """Pairs (`a`, `b`, `sim`) of tokens that differ by at most one typing slip; of one group, if `within` names its column.
 
-    A slip is one letter more, less or another, or two neighbours exchanged; it spoils at most Q + 1 q-grams, so the
-    PREFIX = Q + 2 rarest q-grams of both tokens share one. Equal tokens have similarity 1.
+    left and right hold one column of tokens besides `within`. A slip is one letter more, less or another, or two
+    neighbours exchanged; it spoils at most Q + 1 q-grams, so the PREFIX = Q + 2 rarest q-grams of both tokens share
+    one. Equal tokens have similarity 1.
     """
     one = left is right
-    a = cut(left.toDF("a").where(F.length("a") > 3).distinct())
-    b = a.toDF("b") if one else cut(right.toDF("b").where(F.length("b") > 3).distinct())
+    group = [within] if within else []
+    token = lambda df, name: df.toDF(*group, name).where(F.length(name) > 3).distinct()
+    a = cut(token(left, "a"))
+    b = a.withColumnRenamed("a", "b") if one else cut(token(right, "b"))
     # the order of q-grams, rarest first, counted over the vocabulary that is searched
-    weights = cut(b.select(F.explode(_grams(F.col("b"))).alias("g")).groupBy("g").agg(F.count("*").alias("df")))
+    weights = cut(b.select("b").distinct().select(F.explode(_grams(F.col("b"))).alias("g")).groupBy("g").agg(F.count("*").alias("df")))
 
     def prefix(df: DataFrame, name: str) -> DataFrame:
         # q-grams that the searched vocabulary lacks cannot be shared and come first
-        spread = df.select(name, F.explode(_grams(F.col(name))).alias("g")).join(weights, "g", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-        rarest = F.slice(F.array_sort(F.collect_list(F.struct("df", "g"))), 1, PREFIX)  # of one token: bounded by its length
-        return spread.groupBy(name).agg(rarest.alias("p")).select(name, F.explode("p.g").alias("g"))
+        spread = df.select(name).distinct().select(name, F.explode(_grams(F.col(name))).alias("g")).join(weights, "g", "left")
+        rarest = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))), 1, PREFIX)  # bounded by the length of a token
+        posted = spread.groupBy(name).agg(rarest.alias("p"))
+        return (df.join(posted, name) if group else posted).select(*group, name, F.explode("p.g").alias("g"))
 
-    # the groups of one q-gram hold distinct tokens that have it among their rarest; their size follows the vocabulary
     posted = prefix(a, "a")
     posted = cut(posted) if one else posted
-    pairs = posted.join(posted.toDF("b", "g") if one else prefix(b, "b"), "g").where(F.abs(F.length("a") - F.length("b")) < 2).select("a", "b").distinct()
+    other = posted.withColumnRenamed("a", "b") if one else prefix(b, "b")
+    # a q-gram's lists hold distinct tokens that have it among their rarest, so they follow the vocabulary, not the rows
+    near = F.abs(F.length("a") - F.length("b")) < 2
+    pairs = posted.join(other, [*group, "g"]).where(near).select(*group, "a", "b").distinct()
     edits = F.levenshtein("a", "b")
     swapped = (edits == 2) & (_letters(F.col("a")) == _letters(F.col("b")))  # two neighbours exchanged count as one slip
     verified = pairs.withColumn("e", F.when(swapped, 1).otherwise(edits)).where("e <= 1")
-    return cut(verified.select("a", "b", (1 - F.col("e") / F.greatest(F.length("a"), F.length("b"))).alias("sim")))
+    return cut(verified.select(*group, "a", "b", (1 - F.col("e") / F.greatest(F.length("a"), F.length("b"))).alias("sim")))
 
 
 def _words(c: Column) -> Column:
@@ -223,9 +229,9 @@ def people(names: DataFrame, places: DataFrame) -> DataFrame:
     at = cut(names.join(places.select("key", "org").distinct(), "key"))
     # a surname spelled with a slip joins the most frequent similar surname of its organisation
     counts = cut(at.groupBy("org", "surname").agg(F.count("*").alias("n")))
-    vocabulary = counts.select("surname").distinct()
-    alike = similar_tokens(vocabulary, vocabulary).where("a <> b")
-    near = counts.join(alike, counts["surname"] == alike["a"]).select("org", "surname", F.col("b").alias("other"))
+    vocabulary = counts.select("org", "surname")
+    alike = similar_tokens(vocabulary, vocabulary, within="org").where("a <> b")
+    near = alike.select("org", F.col("a").alias("surname"), F.col("b").alias("other"))
     other = counts.select("org", F.col("surname").alias("other"), F.col("n").alias("m"))
     best = near.join(other, ["org", "other"]).groupBy("org", "surname").agg(F.max(F.struct("m", "other")).alias("top"))
     spelled = counts.join(best, ["org", "surname"], "left").select(
