@@ -132,6 +132,7 @@ Share Cite Download Export citation Toggle navigation
 Skip to main content Menu Search Sign in Register Cart (0)
 Home About Contact Login Search
 Bot protection active
+Your request has been blocked (id 0)
 Please wait while we load
 Warning: mysqli_connect(): connection refused in /var/www/site/db.inc on line 38
 java.lang.NullPointerException at org.render

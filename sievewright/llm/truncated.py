@@ -44,14 +44,14 @@ _TRAILER = re.compile(
       |(?:doi|DOI|arXiv|PMID|ISSN|ISBN|URN|hdl|https?)\s?:\s?\S+
       |10\.\d{4,9}/\S+
       |(?:©|\(c\)|\(C\)|Copyright|&copy;).*
-      |[^.;]*,\s*Vol\.\s*\d+(?:,\s*No\.\s*\d+)?
-      |\[[^\[\]]*\bvol\.\s*\d+[^\[\]]*\]
       |(?:\w+\s){1,3}(?:Press|Publishers?|Society|Journals|Reports|Archive|Verlag)
     )$""",
     re.X | re.S | re.I,
 )
+#: Imprints with full stops of their own: volume and number after a name, or a volume in square brackets.
+_IMPRINT = re.compile(r"(?:,\s[^.,;()]{3,60},\s(?:Vol|Jg|T|Bd)\.\s?\d+,\s(?:No|Nr|Iss|Heft)\.\s?\d+|\[[^\[\]]{3,80}\b(?:vol|no)\.\s?\d+\])$", re.I)
 #: What is put after intact texts in training, so that each kind of ending is known.
-TRAILERS = ("\nKeywords: soil; yield", " Key words: wells, rivers", " doi:10.1000/182", " © The authors", " (C) 2019 City Press", " JEL: Q12", " [City Reports, vol. 4]")
+TRAILERS = ("\nKeywords: soil; yield", " Key words: wells, rivers", " doi:10.1000/182", " © The authors", " (C) 2019 City Press", " JEL: Q12", " [City Reports, vol. 4]", ", City Press, Vol. 6, No. 4")
 _ENTITY = re.compile(r"&#?\w{1,7}$")
 _MARKED = re.compile(r"(?:…|\.\.\.?|\[(?:…|\.\.\.)\]|\((?:more|continued|cont\.)\)|&hellip;?|&#8230;?|Read more)$", re.I)
 _UNSPACED = re.compile(r"[฀-໿က-႟ក-៿]")
@@ -66,6 +66,8 @@ def trimmed(text: str) -> str:
 
 def has_trailer(text: str) -> bool:
     """Ends with keywords, an imprint or an identifier."""
+    if _IMPRINT.search(text[-160:]):
+        return True
     cut = max(text.rfind(". ", 0, len(text) - 2), text.rfind("\n"), text.rfind("。", 0, len(text) - 1))
     return _TRAILER.search(text[max(0, cut, len(text) - 240) :]) is not None
 
