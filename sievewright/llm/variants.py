@@ -265,11 +265,27 @@ def people(names: DataFrame, places: DataFrame) -> DataFrame:
     known = cut(member.join(labels, same).select(member["key"], member["surname"], labels["org"], labels["name"], labels["who"]))
     person = F.concat_ws("|", F.col("org").cast("string"), "name", "who")
     placed = known.select(person.alias("person"), "key")
-    # entries without an organisation: only where one person of that name is known
-    lone = names.join(places.select("key").distinct(), "key", "left_anti").where(F.col("given").isNotNull())
-    single = known.groupBy("name", "who").agg(F.count_distinct("org").alias("k"), F.min("org").alias("org")).where("k = 1")
-    added = lone.join(single, (F.col("surname") == F.col("name")) & (F.col("given") == F.col("who"))).select(person.alias("person"), "key")
-    return placed.unionByName(added).distinct()
+    return placed.unionByName(_without_place(names, places, known)).distinct()
+
+
+def _without_place(names: DataFrame, places: DataFrame, known: DataFrame) -> DataFrame:
+    """Members among the entries without an organisation: of the one person of their name, if all that is known of the
+    name is one person; of each other, if nothing else is known of it."""
+    lone = cut(names.join(places.select("key").distinct(), "key", "left_anti"))
+    # a name is one person if one organisation holds all its entries, whatever others some of them name besides
+    at = known.where(~F.col("who").endswith(".")).groupBy("name", "who", "org").agg(F.count_distinct("key").alias("n"))
+    every = known.groupBy("name", "who").agg(F.count_distinct("key").alias("all"))
+    top = at.groupBy("name", "who").agg(F.max_by("org", F.struct("n", "org")).alias("org"), F.max("n").alias("n"))
+    one = top.join(every, ["name", "who"]).select(F.col("name").alias("surname"), F.col("who").alias("given"), F.when(F.col("n") == F.col("all"), F.concat_ws("|", F.col("org").cast("string"), "name", "who")).alias("person"), F.lit(True).alias("known"))
+    full = lone.where(F.col("given").isNotNull())
+    own = F.concat_ws("|", F.lit("-"), "surname", "given")
+    named = cut(full.join(one, ["surname", "given"], "left").select("key", "surname", "given", F.when(F.col("known").isNull(), own).otherwise(F.col("person")).alias("person")))
+    # initials: where all that is known of the surname and the initial is one person
+    persons = one.select("surname", "given", "person").unionByName(named.select("surname", "given", "person")).distinct()
+    letter = persons.groupBy("surname", F.substring("given", 1, 1).alias("letter")).agg(F.count_distinct("given").alias("k"), F.count_if(F.col("person").isNull()).alias("open"), F.min("person").alias("person"))
+    short = lone.where(F.col("given").isNull() & (F.col("initials") != "")).select("key", "surname", F.substring("initials", 1, 1).alias("letter"))
+    fits = short.join(letter.where("k = 1 AND open = 0"), ["surname", "letter"]).select("person", "key")
+    return named.where("person IS NOT NULL").select("person", "key").unionByName(fits)
 
 
 def author_entries(gold: DataFrame) -> DataFrame:
