@@ -186,7 +186,7 @@ def run_deltas(spark: SparkSession, d: str) -> DataFrame:
     return out.select("run_id", "error_rate", "previous", F.round("delta", 6).alias("delta"), "direction")
 
 
-@query("fetch_status", "select status, count(*) as n, count(distinct doi) as n_dois, sum(attempts) as attempts from (select *, row_number() over (partition by rec_no order by fetched_at desc nulls last, fetch_id desc) as r from fetch_log) where r = 1 group by 1")
+@query("fetch_status", "select status, count(*) as n, count(distinct doi) as n_dois, sum(attempts)::bigint as attempts from (select *, row_number() over (partition by rec_no order by fetched_at desc nulls last, fetch_id desc) as r from fetch_log) where r = 1 group by 1")
 def fetch_status(spark: SparkSession, d: str) -> DataFrame:
     last = F.max(F.struct("fetched_at", "fetch_id", "status", "doi", "attempts")).alias("b")
     final = table(spark, d, "fetch_log").groupBy("rec_no").agg(last)
@@ -204,7 +204,7 @@ def rolling_failures(spark: SparkSession, d: str) -> DataFrame:
     return shares.where("share >= 0.3").select("shard", "fetch_id", F.round("share", 6).alias("share"))
 
 
-@query("running_attempts", "select shard, fetch_id, sum(attempts) over (partition by shard order by fetch_id rows unbounded preceding) as total from fetch_log")
+@query("running_attempts", "select shard, fetch_id, (sum(attempts) over (partition by shard order by fetch_id rows unbounded preceding))::bigint as total from fetch_log")
 def running_attempts(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
