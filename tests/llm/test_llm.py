@@ -376,3 +376,18 @@ def test_people_and_organisations(spark):
     for r in members.collect():
         groups.setdefault(r.person, set()).add(r.key)
     assert {100, 200, 300} in groups.values() and {101} in groups.values()
+
+
+def test_escaped_cells():
+    cell = '[{"name": "Nikolai Rosad\\u00c3\\u00bcra"}]'
+    assert garbled.repair(cell) == (True, '[{"name": "Nikolai Rosadüra"}]', False)
+    proper = '[{"name": "Jos\\u00e9 \\u0141uk"}]'
+    assert garbled.repair(proper) == (False, proper, False)
+
+
+def test_twice_garbled_chinese():
+    table = garbled._decode_table("cp1252")
+    bad = "本研究采用混合线性模型测量了地区样本的骨密度"
+    for _ in range(2):
+        bad = "".join(table[b] for b in bad.encode())
+    assert garbled.repair(bad) == (True, "本研究采用混合线性模型测量了地区样本的骨密度", False)
