@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as tx
-from sievewright.operators.records import last_per_key
+from sievewright.operators.records import one_per_key
 
 
 def fill(base: Column, delta: Column, allowed: Column | bool = True) -> Column:
@@ -34,7 +34,7 @@ def merge_filled(base: DataFrame, delta: DataFrame, gold: DataFrame, key: str, f
 
 def best_rerun(runs: DataFrame, key: str, score: str, source: str) -> DataFrame:
     """Per key the run with the most named authors; ties go to the source first in the alphabet."""
-    return last_per_key(runs, key, F.col(score).desc_nulls_last(), F.col(source).asc())
+    return one_per_key(runs, key, -F.coalesce(F.col(score), F.lit(-1)), F.col(source))
 
 
 def overlay(parts: list[DataFrame], key: str) -> DataFrame:
@@ -42,7 +42,7 @@ def overlay(parts: list[DataFrame], key: str) -> DataFrame:
     ranked = parts[0].withColumn("__p", F.lit(0))
     for i, part in enumerate(parts[1:], 1):
         ranked = ranked.unionByName(part.withColumn("__p", F.lit(i)))
-    return last_per_key(ranked, key, F.col("__p").desc()).drop("__p")
+    return one_per_key(ranked, key, -F.col("__p")).drop("__p")
 
 
 def fill_rates(before: DataFrame, after: DataFrame, key: str, group: str, fields: list[str], least: int = 10) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def replay(log: DataFrame, key: str, *order) -> DataFrame:
-    """The last entry of each key."""
-    return log.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
+#: Ordered computations over a group are cut into blocks of about this many numbers of the order column.
+BLOCK = 50_000
 
 
 def latency(log: DataFrame, value: str, *by: str) -> DataFrame:
@@ -27,12 +26,53 @@ def latency(log: DataFrame, value: str, *by: str) -> DataFrame:
     )
 
 
-def rolling_share(log: DataFrame, flag, by: str, order: str, size: int = 20) -> DataFrame:
-    """Share of flagged rows among the last `size` rows of a group in order; NULL until that many were seen."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(-(size - 1), 0)
-    return log.select(by, order, flag.cast("int").alias("f")).select(
-        by, order, F.when(F.count("*").over(w) == size, F.avg("f").over(w)).alias("share")
-    )
+def _blocks(df: DataFrame, by: str, order: str, width: int, *totals: Column) -> DataFrame:
+    """Per group and block of order numbers: the given aggregates. One row a block."""
+    return df.groupBy(by, F.floor(F.col(order) / width).alias("block")).agg(*totals)
+
+
+def running_sum(log: DataFrame, value: str, by: str, order: str, width: int = BLOCK) -> DataFrame:
+    """Sum of a column up to each row of its group, as `total`; order is a whole number, unique within a group.
+
+    Sums run within blocks of the order column, and blocks begin with the total of those before them: a group that
+    holds most rows is spread over its blocks instead of being sorted in one task.
+    """
+    before = Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = _blocks(log, by, order, width, F.sum(value).alias("s")).select(by, "block", F.sum("s").over(before).alias("start"))
+    inner = Window.partitionBy(by, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.select(by, order, F.col(value).alias("v")).withColumn("block", F.floor(F.col(order) / width)).join(starts, [by, "block"])
+    part = F.sum("v").over(inner)
+    total = F.when(part.isNull(), F.col("start")).otherwise(part + F.coalesce("start", F.lit(0)))
+    return rows.select(by, order, total.alias("total"))
+
+
+def carried(log: DataFrame, value: str, by: str, order: str, width: int = BLOCK) -> DataFrame:
+    """The last value that is not NULL up to each row of its group, as `carried`; blocks as in running_sum."""
+    before = Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
+    starts = _blocks(log, by, order, width, last.alias("s")).select(by, "block", F.last("s", ignorenulls=True).over(before).alias("start"))
+    inner = Window.partitionBy(by, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.select(by, order, F.col(value).alias("v")).withColumn("block", F.floor(F.col(order) / width)).join(starts, [by, "block"])
+    return rows.select(by, order, F.coalesce(F.last("v", ignorenulls=True).over(inner), "start").alias("carried"))
+
+
+def rolling_share(log: DataFrame, flag: Column, by: str, order: str, size: int = 20, width: int = BLOCK) -> DataFrame:
+    """Share of flagged rows among the last `size` rows of a group in order; NULL until that many were seen.
+
+    Rows get consecutive numbers first (counts of earlier blocks, then row numbers within a block); the last size - 1
+    rows of every run of `width` numbers are repeated in the next run, where the frame of its first rows needs them.
+    """
+    if size > width:
+        raise ValueError("size may not exceed width")
+    before = Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = _blocks(log, by, order, width, F.count("*").alias("s")).select(by, "block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
+    rows = log.select(by, order, flag.cast("int").alias("f")).withColumn("block", F.floor(F.col(order) / width)).join(starts, [by, "block"])
+    seq = rows.withColumn("n", F.col("start") + F.row_number().over(Window.partitionBy(by, "block").orderBy(order)) - 1).withColumn("part", F.floor(F.col("n") / width))
+    again = F.when(F.col("n") % width >= width - (size - 1), F.array("part", F.col("part") + 1)).otherwise(F.array("part"))
+    spread = seq.select(by, order, "f", "n", "part", F.explode(again).alias("run"))
+    w = Window.partitionBy(by, "run").orderBy("n").rowsBetween(-(size - 1), 0)
+    share = F.when(F.col("n") >= size - 1, F.avg("f").over(w))
+    return spread.select(by, order, share.alias("share"), "part", "run").where("part = run").drop("part", "run")
 
 
 def shard_routes(df: DataFrame, prefix, least: int = 10) -> DataFrame:

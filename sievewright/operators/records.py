@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as tx
@@ -64,9 +64,15 @@ def completeness(authors: Column) -> Column:
     return F.when(F.size(named) == 0, "no_authors").when(bare, "no_affiliations").otherwise("good")
 
 
-def last_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The winning row of each key. The sort stays within a key; repeated landings of one key are few."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
+def one_per_key(df: DataFrame, key: str, *order: Column, greatest: bool = False) -> DataFrame:
+    """The row of each key whose order expressions are least, or greatest; NULL counts as least.
+
+    An aggregation, not a window: each task keeps one row a key before the shuffle, so a key with very many landings
+    is no burden. Ties of all expressions keep one of the equal rows.
+    """
+    rest = [c for c in df.columns if c != key]
+    best = df.groupBy(key).agg((F.max_by if greatest else F.min_by)(F.struct(*rest), F.struct(*order)).alias("__b"))
+    return best.select(key, *[F.col(f"__b.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 
 def first_seen(df: DataFrame, value: Column, seq: str, name: str) -> DataFrame:

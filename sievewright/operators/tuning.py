@@ -84,13 +84,22 @@ def kde_valley(df: DataFrame, value: str, grid: int = 1000) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """Quantiles without interpolation: the value at place round(share * (n - 1))."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    ranked = counts.select("v", F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), "k")
+    """Quantiles without interpolation: the value at place round(share * (n - 1)).
+
+    Places are found in a histogram of cells first (a window over cells, not values); only the cells that hold one are
+    then ordered, each by itself.
+    """
+    kept = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.floor(F.col(value) * 1000).alias("cell"))
+    cells = kept.groupBy("cell").agg(F.count("*").alias("k")).select("cell", "k", F.sum("k").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
     total = df.agg(F.count(value).alias("n"))
-    asked = df.sparkSession.createDataFrame([(s,) for s in shares], "share double")
-    places = asked.crossJoin(F.broadcast(total)).select("share", F.bround(F.col("share") * (F.col("n") - 1)).cast("long").alias("place"))
-    return ranked.join(F.broadcast(places), (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("k"))).select("share", F.col("v").alias("value"))
+    asked = df.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
+    places = asked.join(F.broadcast(total), how="cross").select("share", F.bround(F.col("share") * (F.col("n") - 1)).cast("long").alias("place"))
+    inside = (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("k"))
+    spots = cells.join(F.broadcast(places), inside).select("share", "cell", (F.col("place") - (F.col("upto") - F.col("k"))).alias("at"))
+    order = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    values = kept.join(F.broadcast(spots.select("cell").distinct()), "cell").groupBy("cell", "v").agg(F.count("*").alias("m")).withColumn("sofar", F.sum("m").over(order))
+    found = values.join(F.broadcast(spots), "cell").where((F.col("at") < F.col("sofar")) & (F.col("at") >= F.col("sofar") - F.col("m")))
+    return found.select("share", F.col("v").alias("value"))
 
 
 def bootstrap(df: DataFrame, value: str, rounds: int = 1000, seed: int = 42, cells: int = 64) -> DataFrame:

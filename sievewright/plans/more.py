@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as tx
+from sievewright.operators import monitor
 from sievewright.plans.tables import _LIST_EMPTY
 from sievewright.session import small, table
 
@@ -132,8 +133,7 @@ def doi_sets(spark: SparkSession, d: str) -> DataFrame:
 @query("carried_errors", "select fetch_id, last_value(error ignore nulls) over (partition by shard order by fetch_id rows unbounded preceding) as last_error from fetch_log")
 def carried_errors(spark: SparkSession, d: str) -> DataFrame:
     """The last error seen so far in a shard, carried forward over lines without one."""
-    w = Window.partitionBy("shard").orderBy("fetch_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "fetch_log").select("fetch_id", F.last("error", ignorenulls=True).over(w).alias("last_error"))
+    return monitor.carried(table(spark, d, "fetch_log"), "error", "shard", "fetch_id").select("fetch_id", F.col("carried").alias("last_error"))
 
 
 @query("note_labels", r"select regexp_extract(notes, '^\W*(\w+)', 1) as label, count(*) as n from delta where notes is not null group by 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievewright.operators import agreement as ag
 from sievewright.operators import scoring
+from sievewright.operators.records import one_per_key
 from sievewright.session import table
 
 
@@ -15,7 +16,7 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, d: str, relaxed: bool) -> DataFrame:
-    parsed = scoring.latest(table(spark, d, "parsed_rows").select("rec_no", "parse_id", "parsed", "landed_at"), "rec_no", F.col("landed_at").desc(), F.col("parse_id").desc())
+    parsed = one_per_key(table(spark, d, "parsed_rows").select("rec_no", "parse_id", "parsed", "landed_at"), "rec_no", F.col("landed_at"), F.col("parse_id"), greatest=True)
     return ag.agreement(table(spark, d, "gold_rows"), parsed, relaxed)
 
 

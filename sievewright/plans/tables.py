@@ -206,10 +206,7 @@ def rolling_failures(spark: SparkSession, d: str) -> DataFrame:
 
 @query("running_attempts", "select shard, fetch_id, (sum(attempts) over (partition by shard order by fetch_id rows unbounded preceding))::bigint as total from fetch_log")
 def running_attempts(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("shard").orderBy("fetch_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "fetch_log").select("shard", "fetch_id", F.sum("attempts").over(w).alias("total"))
+    return monitor.running_sum(table(spark, d, "fetch_log"), "attempts", "shard", "fetch_id").select("shard", "fetch_id", "total")
 
 
 @query("shard_routes", "with c as (select split_part(doi, '/', 1) as prefix, count(*) as n from delta where doi is not null group by 1) select case when n >= 10 then prefix else '_other' end as shard, sum(n)::bigint as n_rows, count(*) as n_prefixes from c group by 1")
@@ -326,7 +323,7 @@ def merged_fields(spark: SparkSession, d: str) -> DataFrame:
 def best_parse(spark: SparkSession, d: str) -> DataFrame:
     named = F.filter("parsed.authors", lambda a: F.coalesce(F.trim(a["name"]), F.lit("")) != "")
     runs = table(spark, d, "parsed_rows").select("rec_no", "parse_id", "run_id", F.when(F.col("parsed.authors").isNotNull(), F.size(named)).cast("long").alias("n_authors"))
-    return records.last_per_key(runs, "rec_no", F.col("n_authors").desc_nulls_last(), F.col("run_id").asc(), F.col("parse_id").asc()).select("rec_no", "parse_id", "n_authors")
+    return records.one_per_key(runs, "rec_no", -F.coalesce("n_authors", F.lit(-1)), F.col("run_id"), F.col("parse_id")).select("rec_no", "parse_id", "n_authors")
 
 
 @query("label_changes", "with a as (select *, row_number() over (partition by rec_no order by row_id) as f, row_number() over (partition by rec_no order by row_id desc) as l from delta), b as (select coalesce(status, '') as label, count(*) as n from a where f = 1 group by 1), c as (select coalesce(status, '') as label, count(*) as n from a where l = 1 group by 1) select coalesce(b.label, c.label) as label, coalesce(b.n, 0) as n_before, coalesce(c.n, 0) as n_after from b full join c on b.label = c.label")

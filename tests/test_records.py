@@ -158,3 +158,30 @@ def test_streams(spark, tmp_path):
     df.write.mode("append").parquet(str(tmp_path / "log"))
     logs.drain(logs.log_stream(spark, str(tmp_path / "log"), df.schema), out)
     assert spark.read.parquet(out).count() == 6
+
+
+def test_ordered_computations_by_blocks(spark):
+    rng = random.Random(6)
+    rows, per = [], {}
+    for g in "ab":
+        ids = sorted(rng.sample(range(400), 150))
+        per[g] = [(i, rng.choice([None, 1, 2]), rng.random() < 0.4) for i in ids]
+        rows += [(g, *r) for r in per[g]]
+    df = spark.createDataFrame(rows, "g string, i long, v long, bad boolean")
+    total = {(r.g, r.i): r.total for r in monitor.running_sum(df, "v", "g", "i", width=17).collect()}
+    last = {(r.g, r.i): r.carried for r in monitor.carried(df, "v", "g", "i", width=17).collect()}
+    share = {(r.g, r.i): r.share for r in monitor.rolling_share(df, F.col("bad"), "g", "i", size=5, width=7).collect()}
+    assert len(total) == len(last) == len(share) == 300
+    for g, seen in per.items():
+        for k, (i, _, _) in enumerate(seen):
+            values = [v for _, v, _ in seen[: k + 1] if v is not None]
+            assert total[g, i] == (sum(values) if values else None)
+            assert last[g, i] == (values[-1] if values else None)
+            window = [b for _, _, b in seen[max(0, k - 4) : k + 1]]
+            assert share[g, i] == (pytest.approx(sum(window) / 5) if k >= 4 else None)
+
+
+def test_one_per_key(spark):
+    df = spark.createDataFrame([(1, 5, "x"), (1, 7, "y"), (1, None, "z"), (2, None, "q")], "k long, t long, v string")
+    assert {(r.k, r.v) for r in records.one_per_key(df, "k", F.col("t"), greatest=True).collect()} == {(1, "y"), (2, "q")}
+    assert records.one_per_key(df, "k", -F.coalesce("t", F.lit(0))).columns == ["k", "t", "v"]
