@@ -78,6 +78,15 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("row_id", "seg_no", "s.char_start", "s.char_end", "s.lang", "s.confidence")
 
 
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every abstract: that of its longest stretches, with their share of the text and their mean confidence."""
+    rows = languages.label_texts(table(spark, sf_dir, "delta"), ["row_id"], "abstract", _network(spark, sf_dir))
+    parts = rows.select("row_id", F.explode("segments").alias("s")).withColumn("n", F.col("s.char_end") - F.col("s.char_start"))
+    per = parts.groupBy("row_id", "s.lang").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("s.confidence")) / F.sum("n")).alias("confidence"))
+    best = per.groupBy("row_id").agg(F.max(F.struct("n", "lang", "confidence")).alias("b"), F.sum("n").alias("all"))
+    return best.select("row_id", "b.lang", (F.col("b.n") / F.col("all")).alias("share"), "b.confidence")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of the abstracts whose label is missing or wrong, or that mix languages."""
     delta = table(spark, sf_dir, "delta")
@@ -126,6 +135,13 @@ def p3_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.join(gold, "rec_no").select("rec_no", "parse_id", verdict.alias("verdict"))
 
 
+def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All abstracts of both sides in one consistent form."""
+    gold = table(spark, sf_dir, "gold_rows").select(F.lit("gold").alias("src"), F.col("rec_no").alias("row_key"), F.col("abstract").alias("t"))
+    parsed = table(spark, sf_dir, "parsed_rows").select(F.lit("parsed").alias("src"), F.col("parse_id").alias("row_key"), F.col("parsed.abstract").alias("t"))
+    return unify.unify(gold.unionByName(parsed).where(F.col("t").isNotNull()), ["src", "row_key"], "t").select("src", "row_key", "canonical")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_compared(spark, sf_dir).where(F.col("verdict") == "same look").select("rec_no", "parse_id")
 
@@ -194,5 +210,5 @@ def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p2_found": p2_found, "p2_segments": p2_segments, "p10_found": p10_found, "p4_found": p4_found, "p3_found": p3_found, "p3_compared": p3_compared, "p5_found": p5_found, "p5_kept": p5_kept, "p8_packed": p8_packed, "p8_each": p8_each, "p8_fill": p8_fill, "p9_found": p9_found, "p9_alignments": p9_alignments, "p9_leaked_items": p9_leaked_items, "p7_found": p7_found, "p7_repaired": p7_repaired}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p2_found": p2_found, "p2_segments": p2_segments, "p2_languages": p2_languages, "p3_unified": p3_unified, "p10_found": p10_found, "p4_found": p4_found, "p3_found": p3_found, "p3_compared": p3_compared, "p5_found": p5_found, "p5_kept": p5_kept, "p8_packed": p8_packed, "p8_each": p8_each, "p8_fill": p8_fill, "p9_found": p9_found, "p9_alignments": p9_alignments, "p9_leaked_items": p9_leaked_items, "p7_found": p7_found, "p7_repaired": p7_repaired}
 ORACLE: dict[str, str] = {}
