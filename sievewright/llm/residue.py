@@ -305,7 +305,7 @@ def vocabulary() -> list[str]:
 def frequencies(df: DataFrame, text: str) -> tuple[dict[str, int], int]:
     """In how many texts of the whole column each token of the exemplars occurs (a bounded result), and how many there are."""
     words = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+"))
-    known = F.array(*[F.lit(w) for w in vocabulary()])
+    known = F.split(F.lit(" ".join(vocabulary())), " ")  # folded to one literal
     kept = df.where(F.col(text).isNotNull()).select(F.explode(F.concat(F.array_intersect(words, known), F.array(F.lit("")))).alias("w"))
     counts = {r["w"]: r["n"] for r in kept.groupBy("w").agg(F.count("*").alias("n")).collect()}
     return counts, counts.pop("", 0)
