@@ -196,13 +196,13 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
 
 
-def p9_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p9_alignments(spark: SparkSession, sf_dir: str, edited: bool = True) -> DataFrame:
     """Documents aligned with evaluation items, edited copies included."""
-    return leak.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return leak.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", edited)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p9_alignments(spark, sf_dir).where(F.col("longest_run") >= leak.RUN).select("doc_id", "item_id")
+    return p9_alignments(spark, sf_dir, edited=False).where(F.col("longest_run") >= leak.RUN).select("doc_id", "item_id")
 
 
 def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:

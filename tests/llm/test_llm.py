@@ -311,6 +311,32 @@ def test_leaks_equal_brute_force(spark):
     assert leak.leaks(d, "doc_id", "text", q.limit(0), "item_id", "text").count() == 0
 
 
+def test_edited_copies_are_aligned(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [rng.choices(vocab, k=60) for _ in range(20)]
+    docs = []
+    for k, item in enumerate(items):
+        copy = [f"new{i}" if i % 10 == 5 else w for i, w in enumerate(item)]  # one word changed in every ten
+        docs.append((k, " ".join(rng.choices(vocab, k=50) + copy + rng.choices(vocab, k=50))))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leak.leaks(d, "doc_id", "text", q, "item_id", "text").collect()}
+    assert set(got) == {(k, k) for k in range(20)}
+    assert all(r.n_words >= 54 and r.longest_run == 9 and r.share >= 0.8 for r in got.values())
+
+
+def test_no_alignment_outside_the_stretches():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        items = [rng.integers(0, 9, rng.integers(2, 20)).astype(np.uint64) for _ in range(4)]
+        doc, chosen = rng.integers(0, 14, rng.integers(1, 60)).astype(np.uint64), np.array([0, 1, 3])
+        whole = [leak.align(items[i], doc)[0] for i in chosen]
+        least = np.array(whole) - rng.integers(0, 3, 3)
+        found = leak.stretches(doc, chosen, least, leak.Holders(items, 1), leak.Holders(items, 2), 4)
+        assert [max((leak.align(items[chosen[k]], doc[lo:hi])[0] for k, lo, hi in found if k == n), default=0) for n in range(3)] == whole
+
+
 # ---- packing ---------------------------------------------------------------
 
 
