@@ -224,19 +224,37 @@ def assign(variants: list[tuple[str | None, str, int]]) -> list[str | None]:
     return out
 
 
+def one_name(counts: DataFrame, links: DataFrame) -> DataFrame:
+    """(`org`, `surname`, `name`): the most frequent surname, of equals the least, of all that links connect.
+
+    Every surname takes the best name among its neighbours and the name of that name until nothing changes, so the
+    rounds follow the logarithm of the longest chain of spellings.
+    """
+    linked = cut(links.select("org", "surname", "other").distinct())
+    both = linked.unionByName(linked.select("org", F.col("other").alias("surname"), F.col("surname").alias("other"))).distinct()
+    rank = counts.select("org", "surname", F.struct((-F.col("n")).alias("m"), F.col("surname").alias("s")).alias("r"))
+    now = cut(rank.join(both.select("org", "surname").distinct(), ["org", "surname"], "left_semi"))
+    while True:
+        seen = both.join(now.select("org", F.col("surname").alias("other"), "r"), ["org", "other"]).select("org", "surname", "r").unionByName(now)
+        best = cut(seen.groupBy("org", "surname").agg(F.min("r").alias("r")))
+        # names point to names: follow one step further
+        target = best.select("org", F.col("surname").alias("to"), F.col("r").alias("further"))
+        after = cut(best.withColumn("to", F.col("r.s")).join(target, ["org", "to"], "left").select("org", "surname", F.least("r", "further").alias("r")))
+        moved = after.join(now.withColumnRenamed("r", "old"), ["org", "surname"]).where(F.col("r.s") != F.col("old.s")).limit(1).count()
+        now = after
+        if not moved:
+            break
+    return counts.join(now.select("org", "surname", F.col("r.s").alias("name")), ["org", "surname"], "left").select("org", "surname", F.coalesce("name", "surname").alias("name"))
+
+
 def people(names: DataFrame, places: DataFrame) -> DataFrame:
     """Membership (`person`, `key`): names (key, surname, given, initials) and places (key, org) of the entries."""
     at = cut(names.join(places.select("key", "org").distinct(), "key"))
-    # a surname spelled with a slip joins the most frequent similar surname of its organisation
+    # surnames of an organisation that are linked by slips, however long the chain, have one name
     counts = cut(at.groupBy("org", "surname").agg(F.count("*").alias("n")))
     vocabulary = counts.select("org", "surname")
     alike = similar_tokens(vocabulary, vocabulary, within="org").where("a <> b")
-    near = alike.select("org", F.col("a").alias("surname"), F.col("b").alias("other"))
-    other = counts.select("org", F.col("surname").alias("other"), F.col("n").alias("m"))
-    best = near.join(other, ["org", "other"]).groupBy("org", "surname").agg(F.max(F.struct("m", "other")).alias("top"))
-    spelled = counts.join(best, ["org", "surname"], "left").select(
-        "org", "surname", F.when((F.col("top.m") > F.col("n")) | ((F.col("top.m") == F.col("n")) & (F.col("top.other") < F.col("surname"))), F.col("top.other")).otherwise(F.col("surname")).alias("name")
-    )
+    spelled = one_name(counts, alike.select("org", F.col("a").alias("surname"), F.col("b").alias("other")))
     member = cut(at.join(spelled, ["org", "surname"]))
     # distinct spellings of one surname at one organisation; their number follows spelling, not the number of records
     variants = member.groupBy("org", "name", "given", "initials").agg(F.count("*").alias("n"))

@@ -380,6 +380,16 @@ def test_similar_tokens_equal_brute_force(spark):
     assert want <= got
 
 
+def test_linked_surnames_have_one_name(spark):
+    names = [(1, "ulanierl"), (2, "ulanieerl"), (3, "ulnierl"), (4, "berkhout"), (5, "berkhoud"), (6, "berkhood"), (7, "berkhood"), (8, "other")]
+    n = spark.createDataFrame([(k, s, "anna", "") for k, s in names], "key long, surname string, given string, initials string")
+    p = spark.createDataFrame([(k, 1) for k, _ in names], "key long, org int")
+    got: dict[str, set] = {}
+    for r in variants.people(n, p).collect():
+        got.setdefault(r.person, set()).add(r.key)
+    assert got == {"1|ulanieerl|anna": {1, 2, 3}, "1|berkhood|anna": {4, 5, 6, 7}, "1|other|anna": {8}}
+
+
 def test_assignment_of_names():
     v = [("nikolai", "", 5), ("nikolaj", "", 1), (None, "n", 2), ("patricia", "f", 1), (None, "p", 1), (None, "k", 1), (None, "", 1)]
     assert variants.assign(v) == ["nikolai", "nikolai", "nikolai", "patricia", "patricia", "k.", None]
