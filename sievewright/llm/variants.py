@@ -194,6 +194,13 @@ def _slip(a: str, b: str) -> bool:
     return s[i:] == t[i + 1 :]
 
 
+def _slip_apart(a: Column, b: Column) -> Column:
+    """The same test over columns."""
+    edits = F.levenshtein(a, b)
+    one = (edits == 1) | (edits == 2) & (F.length(a) == F.length(b)) & (_letters(a) == _letters(b))
+    return (a == b) | (F.least(F.length(a), F.length(b)) > 3) & one
+
+
 def assign(variants: list[tuple[str | None, str, int]]) -> list[str | None]:
     """People of one surname at one organisation: for each (given, initials, count) a label, or None if it fits several."""
     totals: dict[str, int] = {}
@@ -297,12 +304,30 @@ def _without_place(names: DataFrame, places: DataFrame, known: DataFrame) -> Dat
     one = top.join(every, ["name", "who"]).select(F.col("name").alias("surname"), F.col("who").alias("given"), F.when(F.col("n") == F.col("all"), F.concat_ws("|", F.col("org").cast("string"), "name", "who")).alias("person"), F.lit(True).alias("known"))
     full = lone.where(F.col("given").isNotNull())
     own = F.concat_ws("|", F.lit("-"), "surname", "given")
-    named = cut(full.join(one, ["surname", "given"], "left").select("key", "surname", "given", F.when(F.col("known").isNull(), own).otherwise(F.col("person")).alias("person")))
+    exact = cut(full.join(one, ["surname", "given"], "left").select("key", "surname", "given", F.coalesce("known", F.lit(False)).alias("known"), "person"))
+    # a name that is not known: the one person of whose surname and given name it is at most a slip away
+    spelt = cut(known.select(F.col("surname").alias("b"), "name", "who").distinct())
+    strange = exact.where(~F.col("known")).select("surname", "given").distinct()
+    tokens = strange.select("surname").union(lone.where(F.col("given").isNull()).select("surname"))
+    alike = similar_tokens(tokens, spelt.select("b")).select(F.col("a").alias("surname"), "b")
+    alike = cut(alike.unionByName(tokens.select("surname", F.col("surname").alias("b"))).distinct())
+    reached = strange.join(alike, "surname").join(spelt, "b").where(_slip_apart(F.col("given"), F.col("who")))
+    persons_of = reached.join(one.select(F.col("surname").alias("name"), F.col("given").alias("who"), "person"), ["name", "who"])
+    several = persons_of.groupBy("surname", "given").agg(F.count_distinct("name", "who").alias("k"), F.min("person").alias("meant"))
+    fixed = several.where("k = 1 AND meant IS NOT NULL").select("surname", "given", "meant")
+    named = exact.join(fixed, ["surname", "given"], "left")
+    named = cut(named.select("key", "surname", "given", F.when(~F.col("known"), F.coalesce("meant", own)).otherwise(F.col("person")).alias("person")))
     # initials: where all that is known of the surname and the initial is one person
     persons = one.select("surname", "given", "person").unionByName(named.select("surname", "given", "person")).distinct()
-    letter = persons.groupBy("surname", F.substring("given", 1, 1).alias("letter")).agg(F.count_distinct("given").alias("k"), F.count_if(F.col("person").isNull()).alias("open"), F.min("person").alias("person"))
+    letter = persons.groupBy("surname", F.substring("given", 1, 1).alias("letter")).agg(F.count_distinct("person").alias("k"), F.count_if(F.col("person").isNull()).alias("open"), F.min("person").alias("person"))
     short = lone.where(F.col("given").isNull() & (F.col("initials") != "")).select("key", "surname", F.substring("initials", 1, 1).alias("letter"))
-    fits = short.join(letter.where("k = 1 AND open = 0"), ["surname", "letter"]).select("person", "key")
+    sure = letter.select("surname", "letter", F.when((F.col("k") == 1) & (F.col("open") == 0), F.col("person")).alias("person"))
+    fits = short.join(sure.where("person IS NOT NULL"), ["surname", "letter"]).select("person", "key")
+    # initials beside a surname with a slip: all that it may mean is one person
+    meant = alike.join(spelt.select("b", F.col("name").alias("to")).distinct(), "b").select("surname", "to").distinct()
+    far = short.join(sure, ["surname", "letter"], "left_anti").join(meant, "surname").join(sure.withColumnRenamed("surname", "to"), ["to", "letter"])
+    per_key = far.groupBy("key").agg(F.count_distinct("to").alias("k"), F.min("person").alias("person")).where("k = 1 AND person IS NOT NULL")
+    fits = fits.unionByName(per_key.select("person", "key"))
     return named.where("person IS NOT NULL").select("person", "key").unionByName(fits)
 
 

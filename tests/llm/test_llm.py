@@ -390,6 +390,17 @@ def test_linked_surnames_have_one_name(spark):
     assert got == {"1|ulanieerl|anna": {1, 2, 3}, "1|berkhood|anna": {4, 5, 6, 7}, "1|other|anna": {8}}
 
 
+def test_slips_without_an_organisation(spark):
+    names = [(1, "berkhout", "anna", ""), (2, "berkhuot", "anna", ""), (3, "berkhout", "annna", ""), (4, "berkhot", None, "a"), (5, "berkhout", "peter", ""), (6, "strange", "anna", ""), (7, "berkout", "maria", "")]
+    n = spark.createDataFrame(names, "key long, surname string, given string, initials string")
+    p = spark.createDataFrame([(1, 1)], "key long, org int")
+    got: dict[str, set] = {}
+    for r in variants.people(n, p).collect():
+        got.setdefault(r.person, set()).add(r.key)
+    assert got["1|berkhout|anna"] == {1, 2, 3, 4}
+    assert {frozenset(v) for v in got.values()} == {frozenset(x) for x in ({1, 2, 3, 4}, {5}, {6}, {7})}
+
+
 def test_assignment_of_names():
     v = [("nikolai", "", 5), ("nikolaj", "", 1), (None, "n", 2), ("patricia", "f", 1), (None, "p", 1), (None, "k", 1), (None, "", 1)]
     assert variants.assign(v) == ["nikolai", "nikolai", "nikolai", "patricia", "patricia", "k.", None]
