@@ -87,8 +87,9 @@ def batches(df: DataFrame, number: str, size: int = 100) -> DataFrame:
 
 
 def missing_batches(df: DataFrame, number: str, size: int, last: int) -> DataFrame:
-    """Batch numbers from 1 to last without any row."""
+    """Batch numbers without any row, from 1 to last or to the last batch of the rows, whichever is higher."""
     have = batches(df, number, size).select("batch_no")
+    last = max(last, have.agg(F.max("batch_no").alias("b")).first()["b"] or 0)
     return df.sparkSession.range(1, last + 1).select(F.col("id").alias("batch_no")).join(have, "batch_no", "left_anti")
 
 
