@@ -38,7 +38,7 @@ def meta_all(page: Column, name: str) -> Column:
 
 def meta_first(page: Column, *names: str) -> Column:
     """The first content that is not blank, over several names in order; the empty text without any."""
-    filled = [F.filter(F.transform(meta_all(page, n), F.trim), lambda v: v != "") for n in names]
+    filled = [F.filter(F.transform(meta_all(page, n), lambda v: F.trim(v)), lambda v: v != "") for n in names]
     return F.coalesce(*[F.try_element_at(f, F.lit(1)) for f in filled], F.lit(""))
 
 

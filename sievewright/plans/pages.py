@@ -14,10 +14,10 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     escape = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     tag = lambda name, c: F.concat(F.lit(f'<meta name="{name}" content="'), escape(c), F.lit('">\n'))
     authors = F.array_join(F.transform("authors", lambda a: F.concat(tag("citation_author", a["name"]), tag("citation_author_institution", F.array_join(a["affiliations"], "; ")))), "")
-    head = F.concat(tag("citation_title", F.concat(F.lit("Record "), F.col("doi"))), authors, tag("citation_abstract", F.substring("abstract", 1, 120)), tag("citation_pdf_url", F.coalesce("pdf_url", F.lit(""))))
+    head = F.concat(tag("citation_title", F.concat(F.lit("Record "), F.col("doi"))), authors, tag("citation_abstract", F.col("abstract")), tag("citation_pdf_url", F.coalesce("pdf_url", F.lit(""))))
     data = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct("abstract")), F.lit("</script>"))
     rows = table(spark, d, "gold_rows").where((F.size("authors") > 0) & (F.length(F.trim("abstract")) > 3))
-    return rows.select("rec_no", "authors", "abstract", F.concat(F.lit("<html><head>\n"), head, data, F.lit("</head></html>")).alias("page"))
+    return rows.select("rec_no", "authors", "abstract", "pdf_url", F.concat(F.lit("<html><head>\n"), head, data, F.lit("</head></html>")).alias("page"))
 
 
 def extracted(spark: SparkSession, d: str) -> DataFrame:
@@ -26,10 +26,10 @@ def extracted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """How many records give back the number and the names of their authors."""
-    gold = pages(spark, d).select("rec_no", F.transform("authors", lambda a: F.trim(a["name"])).alias("names"))
-    back = extracted(spark, d).select("rec_no", F.transform("authors", lambda a: a["name"]).alias("found"))
-    return gold.join(back, "rec_no", "left").agg(F.count("*").alias("n_pages"), F.count_if(F.col("names") == F.col("found")).alias("n_same"))
+    """How many records give back the number and the names of their authors, their abstract and the address of their file."""
+    gold = pages(spark, d).select("rec_no", F.transform("authors", lambda a: F.trim(a["name"])).alias("names"), F.trim("abstract").alias("a"), F.trim(F.coalesce("pdf_url", F.lit(""))).alias("p"))
+    back = extracted(spark, d).select("rec_no", F.transform("authors", lambda a: a["name"]).alias("found"), "abstract", "pdf_url")
+    return gold.join(back, "rec_no", "left").agg(F.count("*").alias("n_pages"), F.count_if((F.col("names") == F.col("found")) & (F.col("a") == F.trim("abstract")) & (F.col("p") == F.trim("pdf_url"))).alias("n_same"))
 
 
 QUERIES = {"pages_extracted": extracted, "pages_round_trip": round_trip}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import text as tx
 from sievewright.operators import extract, merge, monitor, records, tuning
+from sievewright.plans import pages
 from sievewright.sources import records as src
 from sievewright.sources import sinks
 
@@ -185,3 +186,19 @@ def test_one_per_key(spark):
     df = spark.createDataFrame([(1, 5, "x"), (1, 7, "y"), (1, None, "z"), (2, None, "q")], "k long, t long, v string")
     assert {(r.k, r.v) for r in records.one_per_key(df, "k", F.col("t"), greatest=True).collect()} == {(1, "y"), (2, "q")}
     assert records.one_per_key(df, "k", -F.coalesce("t", F.lit(0))).columns == ["k", "t", "v"]
+
+
+def test_missing_batches_beyond_the_least_range(spark):
+    df = spark.createDataFrame([(1,), (41,), (15,)], "n long")
+    assert {r.batch_no for r in records.missing_batches(df, "n", 10, 3).collect()} == {3, 4}
+    assert {r.batch_no for r in records.missing_batches(df.limit(0), "n", 10, 2).collect()} == {1, 2}
+
+
+def test_pages_give_back_whole_abstracts(spark, tmp_path):
+    abstract = "A sentence of some length that goes on. " * 4
+    spark.createDataFrame(
+        [(1, "10.1/a", [("Ann Lee", ["Here"])], abstract, "http://x/a.pdf")],
+        "rec_no long, doi string, authors array<struct<name:string,affiliations:array<string>>>, abstract string, pdf_url string",
+    ).write.parquet(f"{tmp_path}/gold_rows.parquet")
+    row = pages.extracted(spark, str(tmp_path)).first()
+    assert (row.abstract, row.pdf_url) == (abstract.strip(), "http://x/a.pdf")
