@@ -100,13 +100,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _readable(chosen, "text", spoilt).select("row_id", F.explode("langs").alias("lang"))
 
 
+def _variants(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return variants.linked(table(spark, sf_dir, "gold_rows"), table(spark, sf_dir, "orgs"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of entries of one person, and the organisations that affiliation entries name."""
-    members, places = variants.linked(table(spark, sf_dir, "gold_rows"), table(spark, sf_dir, "orgs"))
-    left, right = members.withColumnRenamed("key", "id_a"), members.withColumnRenamed("key", "id_b")
-    pairs = left.join(right, "person").where("id_a < id_b").select(F.lit("person").alias("kind"), "id_a", "id_b").distinct()
+    members, places = _variants(spark, sf_dir)
     named = places.select(F.lit("organisation").alias("kind"), F.col("org").alias("id_a"), (F.col("key") * 10 + F.col("aff_pos")).alias("id_b"))
-    return pairs.unionByName(named.distinct())
+    return variants.person_pairs(members).select(F.lit("person").alias("kind"), "id_a", "id_b").unionByName(named)
+
+
+def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership instead of pairs: the person of every author entry that is linked, and the person's number of entries."""
+    members, _ = _variants(spark, sf_dir)
+    return members.join(members.groupBy("person").agg(F.count("*").alias("n_entries")), "person").select("person", F.col("key").alias("author_key"), "n_entries")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,5 +218,5 @@ def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p2_found": p2_found, "p2_segments": p2_segments, "p2_languages": p2_languages, "p3_unified": p3_unified, "p10_found": p10_found, "p4_found": p4_found, "p3_found": p3_found, "p3_compared": p3_compared, "p5_found": p5_found, "p5_kept": p5_kept, "p8_packed": p8_packed, "p8_each": p8_each, "p8_fill": p8_fill, "p9_found": p9_found, "p9_alignments": p9_alignments, "p9_leaked_items": p9_leaked_items, "p7_found": p7_found, "p7_repaired": p7_repaired}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p2_found": p2_found, "p2_segments": p2_segments, "p2_languages": p2_languages, "p3_unified": p3_unified, "p10_found": p10_found, "p4_found": p4_found, "p4_members": p4_members, "p3_found": p3_found, "p3_compared": p3_compared, "p5_found": p5_found, "p5_kept": p5_kept, "p8_packed": p8_packed, "p8_each": p8_each, "p8_fill": p8_fill, "p9_found": p9_found, "p9_alignments": p9_alignments, "p9_leaked_items": p9_leaked_items, "p7_found": p7_found, "p7_repaired": p7_repaired}
 ORACLE: dict[str, str] = {}

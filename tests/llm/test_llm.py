@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sievewright.llm import garbled, languages, leak, packing, residue, sentences, truncated, unify, variants
+from sievewright.llm import garbled, languages, leak, packing, residue, sentences, truncated, unify
 
 
 # ---- garbled ---------------------------------------------------------------
@@ -363,66 +363,7 @@ def test_token_counts(spark):
     assert got[2] == got[3] == 0 and got[1] == len(packing.encoder().encode_ordinary("hello world"))
 
 
-# ---- variants --------------------------------------------------------------
-
-
-def test_similar_tokens_equal_brute_force(spark):
-    rng = random.Random(2)
-    base = ["".join(rng.choices("abcdefgh", k=rng.randint(5, 9))) for _ in range(60)]
-    words = set(base)
-    for w in base:
-        i = rng.randrange(len(w) - 1)
-        words.add(rng.choice([w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + w[i + 1 :], w[:i] + "z" + w[i:], w[:i] + "z" + w[i + 1 :]]))
-    df = spark.createDataFrame([(w,) for w in words], "t string")
-    got = {(r.a, r.b) for r in variants.similar_tokens(df, df).collect()}
-    longer = [w for w in words if len(w) > 3]
-    want = {(a, b) for a in longer for b in longer if a == b or (variants._slip(a, b) and min(len(a), len(b)) > 3)}
-    assert want <= got
-
-
-def test_linked_surnames_have_one_name(spark):
-    names = [(1, "ulanierl"), (2, "ulanieerl"), (3, "ulnierl"), (4, "berkhout"), (5, "berkhoud"), (6, "berkhood"), (7, "berkhood"), (8, "other")]
-    n = spark.createDataFrame([(k, s, "anna", "") for k, s in names], "key long, surname string, given string, initials string")
-    p = spark.createDataFrame([(k, 1) for k, _ in names], "key long, org int")
-    got: dict[str, set] = {}
-    for r in variants.people(n, p).collect():
-        got.setdefault(r.person, set()).add(r.key)
-    assert got == {"1|ulanieerl|anna": {1, 2, 3}, "1|berkhood|anna": {4, 5, 6, 7}, "1|other|anna": {8}}
-
-
-def test_slips_without_an_organisation(spark):
-    names = [(1, "berkhout", "anna", ""), (2, "berkhuot", "anna", ""), (3, "berkhout", "annna", ""), (4, "berkhot", None, "a"), (5, "berkhout", "peter", ""), (6, "strange", "anna", ""), (7, "berkout", "maria", "")]
-    n = spark.createDataFrame(names, "key long, surname string, given string, initials string")
-    p = spark.createDataFrame([(1, 1)], "key long, org int")
-    got: dict[str, set] = {}
-    for r in variants.people(n, p).collect():
-        got.setdefault(r.person, set()).add(r.key)
-    assert got["1|berkhout|anna"] == {1, 2, 3, 4}
-    assert {frozenset(v) for v in got.values()} == {frozenset(x) for x in ({1, 2, 3, 4}, {5}, {6}, {7})}
-
-
-def test_assignment_of_names():
-    v = [("nikolai", "", 5), ("nikolaj", "", 1), (None, "n", 2), ("patricia", "f", 1), (None, "p", 1), (None, "k", 1), (None, "", 1)]
-    assert variants.assign(v) == ["nikolai", "nikolai", "nikolai", "patricia", "patricia", "k.", None]
-    assert variants.assign([("ben", "", 1), ("bella", "", 1), (None, "b", 1)])[2] is None
-
-
-def test_people_and_organisations(spark):
-    author = "array<struct<name:string,affiliations:array<string>,is_corresponding:boolean>>"
-    rows = [
-        (1, [("Nikolai Ekenouxt", ["University of Farville, 10061 Farville"], None), ("Patricia Ekenouxt", ["Univ. Farville"], None)]),
-        (2, [("EKENOUXT, Kolya", ["Dept. of Law, Université de Favrille; Oldham Gen. Hosp., Spain"], None), (None, None, None), ("", [""], None)]),
-        (3, [("N. Ekenouxt", ["Farville University"], None), ("Nikolai Ekenouxt", ["Oldham General Hospital"], None)]),
-    ]
-    gold = spark.createDataFrame(rows, f"rec_no long, authors {author}")
-    orgs = spark.createDataFrame([(1, "University of Farville"), (2, "Farville Polytechnic"), (3, "Oldham General Hospital")] + [(i, f"Town{chr(97 + i % 26)}{chr(97 + i // 26)}ville University") for i in range(10, 200)], "org_id long, org_name string")
-    members, places = variants.linked(gold, orgs)
-    named = {(r.key, r.aff_pos, r.org) for r in places.collect()}
-    assert {(100, 0, 1), (101, 0, 1), (200, 0, 1), (200, 0, 3), (300, 0, 1), (301, 0, 3)} == named
-    groups = {}
-    for r in members.collect():
-        groups.setdefault(r.person, set()).add(r.key)
-    assert {100, 200, 300} in groups.values() and {101} in groups.values()
+# ---- garbled cells -----------------------------------------------------------
 
 
 def test_escaped_cells():
