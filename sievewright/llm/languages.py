@@ -14,21 +14,25 @@ alphabet; repeated texts get the same answer; an empty training table gives an e
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm import sentences as sent
 from sievewright.llm.truncated import closed, trimmed
-from sievewright.session import arrow_map
+from sievewright.session import arrow_map, shared_dir
 
 STRIDE, HIDDEN = 6, 24
 PER_LANGUAGE, STEPS, BATCH, WINDOW = 160, 420, 64, 40
 #: A sentence in another language than the text's main one needs this mean gain of log-probability per position.
-MARGIN, LEAST_BYTES = 0.35, 16
+MARGIN = 0.35
+#: ... and this gain in all, so that a few bytes of a name do not make a language; a sentence may be as short as it likes.
+LEAST_GAIN = 2.0
 _BLANK = ("", "n/a", "na", "none", "null")
 _JOIN = re.compile(r"(?<=[.!?。！？।؟»”\"])(\s+)[/|—–\-](?=\s)")
 
@@ -262,11 +266,12 @@ def _judge(net: Network, text: str, spans: list[tuple[int, int]], scores: np.nda
         p = min(p, q - 1)
         total = scores[q] - scores[p]
         best = int(total.argmax())
-        if best != main and (hi - lo < LEAST_BYTES or (total[best] - total[main]) / (q - p) < MARGIN):
+        gain = total[best] - total[main]
+        if best != main and gain < max(LEAST_GAIN, MARGIN * (q - p)):
             best = main
         # the last piece is a whole sentence only if it is closed; keywords, imprints and cut ends are not
-        whole = hi - lo >= LEAST_BYTES
-        if whole and k + 1 == len(spans):
+        whole = True
+        if k + 1 == len(spans):
             piece = trimmed(text[a:b])
             whole = closed(piece) or bool(piece) and bool(sent.tables()["thai"][ord(piece[-1])])
         mean = float(np.exp(total[best] / (q - p)))
@@ -295,7 +300,31 @@ def sample(docs: DataFrame, text: str, lang: str, per_language: int = PER_LANGUA
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     picked = labelled.where(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
     bound = 2 * per_language * len(counts)
-    return sorted((r["lang"], r["t"][:6000]) for r in picked.limit(bound).collect())
+    return sorted((r["lang"], r["t"]) for r in picked.orderBy(F.xxhash64("t"), "t").limit(bound).collect())
+
+
+def fitted(spark: SparkSession, samples: list[tuple[str, str]]) -> Network | None:
+    """The network of a sample, trained once: it is kept in the shared folder under the digest of what it depends on."""
+    if not samples:
+        return None
+    digest = hashlib.sha256(repr((samples, STRIDE, HIDDEN, STEPS, BATCH, WINDOW)).encode()).hexdigest()[:24]
+    if digest not in _KEPT:
+        path = f"{shared_dir(spark)}/models/languages-{digest}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            held = np.load(io.BytesIO(bytes(spark.read.parquet(path).first()["model"])))
+            net = Network([str(x) for x in held["labels"]])
+            net.p = {k: held[k] for k in net.p}
+        else:
+            net = fit(samples)
+            out = io.BytesIO()
+            np.savez(out, labels=np.array(net.labels), **net.p)
+            spark.createDataFrame([(bytearray(out.getvalue()),)], "model binary").write.mode("overwrite").parquet(path)
+        _KEPT[digest] = net
+    return _KEPT[digest]
+
+
+_KEPT: dict[str, Network] = {}
 
 
 def label_texts(df: DataFrame, keys: list[str], text: str, net: Network | None) -> DataFrame:

@@ -32,6 +32,9 @@ N, RUN, BLOCK = 5, 12, 5000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the best possible score, and least aligned words, for a pair to be reported as a copy.
 LEAST_SHARE, LEAST_WORDS = 0.25, 8
+#: An alignment that gains spans at most (MATCH - GAP) / -GAP words of a document for each word of the item; stretches
+#: longer than WIDE times the item are aligned in pieces that overlap by that much, so nothing is lost and memory is bounded.
+SPAN, WIDE = (MATCH - GAP) // -GAP, 8
 #: Words of documents that are aligned with an item at once.
 CELLS = 12_000
 _WORD = re.compile(r"[^\W_]+")
@@ -140,6 +143,12 @@ def stretches(h: np.ndarray, chosen: np.ndarray, least: np.ndarray, ones: Holder
     return list(zip(rows[::2].tolist(), edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
+def pieces(lo: int, hi: int, size: int) -> list[tuple[int, int]]:
+    """A stretch cut into pieces of WIDE times an item's size that overlap by the longest alignment."""
+    step = (WIDE - SPAN) * size
+    return [(a, min(hi, a + WIDE * size)) for a in range(lo, max(lo + 1, hi - SPAN * size), step)]
+
+
 def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int, int, int]:
     """Smith-Waterman of two word arrays: score, aligned words, first and last word of part, and the longest common run."""
     return align_all(item, [part])[0]
@@ -205,7 +214,7 @@ def _align(item: np.ndarray, parts: list[np.ndarray], m: int) -> list[tuple[int,
 
 
 def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, edited: bool = True) -> DataFrame:
-    """One row per document and item that are aligned: keys, `share` of the best possible score, `n_words` aligned,
+    """One row per document and item that are aligned: keys, alignment `score` and its `share` of the best possible one, `n_words` aligned,
     `longest_run` of common words, and the words `word_start`..`word_end` of the document. Without `edited`,
     only pairs with a common run of RUN words."""
     kinds = {**dict(docs.dtypes), **{f"item {k}": v for k, v in items.dtypes}}
@@ -213,7 +222,7 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
     # the query set, fetched block by block in the order of its key
     ordered = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     total = ordered.count()
-    schema = f"`{doc_key}` {kinds[doc_key]}, `{item_key}` {kinds[f'item {item_key}']}, share double, n_words int, longest_run int, word_start int, word_end int"
+    schema = f"`{doc_key}` {kinds[doc_key]}, `{item_key}` {kinds[f'item {item_key}']}, share double, score int, n_words int, longest_run int, word_start int, word_end int"
     result = docs.sparkSession.createDataFrame([], schema)
     for block in range(max(1, -(-total // BLOCK))) if total else []:
         rows = ordered.orderBy("k").offset(block * BLOCK).limit(BLOCK).collect()
@@ -246,22 +255,24 @@ def _block(docs: DataFrame, keys: list, texts: list[list[str]], schema: str, doc
             if not len(chosen):
                 continue
             for k, lo, hi in stretches(h, chosen, least, ones, twos, len(texts)):
-                spans[int(chosen[k])].append((at, lo, h[lo:hi]))
+                item = int(chosen[k])
+                for a, b in pieces(lo, hi, int(sizes[item])):
+                    spans[item].append((at, a, h[a:b]))
         best: dict[tuple[int, int], tuple] = {}
         for item, parts in spans.items():
             size = len(targets[item])
             for (at, lo, _), (score, matched, first, last, longest) in zip(parts, align_all(targets[item], [p for _, _, p in parts]), strict=True):
-                found, old = (score / (MATCH * size), matched, longest, lo + first, lo + last), best.get((at, item))
-                best[at, item] = found if old is None else (*max(old, found)[:2], max(old[2], longest), *max(old, found)[3:])
-        kept = sorted((at, item, b) for (at, item), b in best.items() if b[2] >= RUN or edited and b[0] >= LEAST_SHARE and b[1] >= LEAST_WORDS)
+                found, old = (score / (MATCH * size), score, matched, longest, lo + first, lo + last), best.get((at, item))
+                best[at, item] = found if old is None else (*max(old, found)[:3], max(old[3], longest), *max(old, found)[4:])
+        kept = sorted((at, item, b) for (at, item), b in best.items() if b[3] >= RUN or edited and b[0] >= LEAST_SHARE and b[2] >= LEAST_WORDS)
         where, out = [at for at, _, _ in kept], [(keys[item], *b) for _, item, b in kept]
         if not where:
             return None
         columns = list(zip(*out, strict=True))
-        kinds = [pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+        kinds = [pa.float64(), *[pa.int32()] * 5]
         return pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(where)), pa.array(columns[0]), *[pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True)]],
-            [doc_key, item_key, "share", "n_words", "longest_run", "word_start", "word_end"],
+            [doc_key, item_key, "share", "score", "n_words", "longest_run", "word_start", "word_end"],
         )
 
     return arrow_map(docs, kernel, schema)

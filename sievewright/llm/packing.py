@@ -3,9 +3,10 @@
 Sizes are tokens of a public tokenizer, counted next to the data; only ids and sizes are shuffled. Items are spread by
 hash over groups of about GROUP_ITEMS, each packed by itself, so no task holds an unbounded group and the unused space
 that grouping costs is at most one container a group. Within a group items go largest first into the container with
-the least room that takes them; if none does, a container is opened whose capacity has the least cost per token for
-the items still to come, found by trying the opening policies jointly; at the end each container is downsized to the
-smallest permitted capacity that holds its contents.
+the least room that takes them. If none does, a container is opened, and its capacity is chosen then: every permitted one
+is tried with the items still to come, and the one that they leave least unused is taken. At the end each container is
+downsized to the smallest permitted capacity that holds its contents. The layout is compared with those that open one
+capacity only, and the best is kept.
 
 Defined cases: a text of no tokens (null, empty) takes no container; a text longer than the largest capacity is
 divided into full pieces and a rest, every other text stays whole; equal sizes are taken in the order of their ids;
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from sievewright.session import arrow_map
 
 GROUP_ITEMS = 20_000
+#: More permitted capacities than this are refused: they are a list that people write.
+MOST_CAPACITIES = 1000
 #: Where the vocabulary file lies, and the pattern that divides text before merging (parameters, with public values).
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,15 +78,43 @@ def _fill(sizes: list[int], opening: list[int]) -> tuple[list[int], list[int]]:
     return where, contents
 
 
+def _choices(sizes: list[int], allowed: list[int]) -> list[int]:
+    """For each item, largest first, the capacity that a container opened by it should have: the one that is best filled
+    by the item and the largest of the later items that fit, one after the other; of equal ones the largest."""
+    rising = sizes[::-1]  # ascending, so that the items after place i are rising[: n - 1 - i]
+    n = len(sizes)
+    known: dict[tuple[int, int], int] = {}
+    out = []
+    for i, size in enumerate(sizes):
+        # items of one size that have many smaller ones behind them choose alike
+        key = (size, (n - 1 - i) // 64)
+        if key not in known:
+            best = None
+            for capacity in allowed:
+                if capacity < size:
+                    continue
+                room, end = capacity - size, n - 1 - i
+                while room > 0 and end > 0:
+                    end = min(end, bisect.bisect_right(rising, room, 0, end))
+                    if end:
+                        end -= 1
+                        room -= rising[end]
+                cost = room / capacity
+                if best is None or cost <= best[0]:
+                    best = (cost, capacity)
+            known[key] = best[1]
+        out.append(known[key])
+    return out
+
+
 def pack(sizes: np.ndarray, capacities: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Containers of items sorted largest first, and the capacity of each container after downsizing."""
     allowed = np.array(sorted(set(capacities)))
     least = allowed[np.searchsorted(allowed, sizes)]  # the smallest capacity that takes the item
     items = sizes.tolist()
     best = None
-    # opening policies: always at least this capacity
-    for capacity in allowed.tolist():
-        where, contents = _fill(items, np.maximum(least, capacity).tolist())
+    for opening in (_choices(items, allowed.tolist()), *(np.maximum(least, capacity).tolist() for capacity in allowed.tolist())):
+        where, contents = _fill(items, opening)
         fitted = allowed[np.searchsorted(allowed, contents)]
         if best is None or fitted.sum() < best[0]:
             best = (int(fitted.sum()), where, fitted)

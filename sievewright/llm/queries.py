@@ -58,7 +58,7 @@ def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _network(spark: SparkSession, sf_dir: str) -> languages.Network | None:
     """Trained on a bounded sample of the labelled documents."""
-    return languages.fit(languages.sample(table(spark, sf_dir, "documents"), "text", "lang"))
+    return languages.fitted(spark, languages.sample(table(spark, sf_dir, "documents"), "text", "lang"))
 
 
 def _readable(df: DataFrame, text: str, spoilt: _Spoilt) -> DataFrame:
@@ -177,7 +177,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _capacities(spark: SparkSession, sf_dir: str) -> list[int]:
     """The permitted capacities: a table of a few rows."""
-    rows = table(spark, sf_dir, "pack_limits").select("capacity_tokens").distinct().limit(1000).collect()
+    rows = table(spark, sf_dir, "pack_limits").select("capacity_tokens").distinct().limit(packing.MOST_CAPACITIES + 1).collect()
+    if len(rows) > packing.MOST_CAPACITIES:
+        raise ValueError("too many capacities")
     return sorted(r["capacity_tokens"] for r in rows)
 
 
@@ -210,7 +212,9 @@ def p9_alignments(spark: SparkSession, sf_dir: str, edited: bool = True) -> Data
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p9_alignments(spark, sf_dir, edited=False).where(F.col("longest_run") >= leak.RUN).select("doc_id", "item_id")
+    """Documents whose alignment with an item scores as much as a run of RUN words; the exact length of the run is checked last."""
+    aligned = p9_alignments(spark, sf_dir, edited=False).where(F.col("score") >= leak.MATCH * leak.RUN)
+    return aligned.where(F.col("longest_run") >= leak.RUN).select("doc_id", "item_id")
 
 
 def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:

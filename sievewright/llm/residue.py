@@ -1,13 +1,14 @@
 """Template residue, error pages, notices and filler in place of real text: found and left out.
 
-Labelled exemplars of residue are held in an inverted index (token -> exemplars). A text is cut into passage windows
-as long as each retrieved exemplar; the TF-IDF containment of a window in its exemplar, and of the exemplar in the
-window, decides whether the window is residue. A text is excluded when its residue windows cover it but for a title.
+Labelled exemplars of residue are held in an inverted index (token -> exemplars, token -> topics). A text is cut into
+passage windows: as long as a sentence of each retrieved exemplar, whose TF-IDF containment in the window, and the
+window's in it, decides; and, because messages are worded in many ways, the windows that a topic's wording contains
+best: the exemplars of one topic together hold the words that such messages are made of. A text is excluded when its
+residue windows cover it but for a title.
 Document frequencies of the exemplars' tokens are counted over all texts of the column; the index is bounded by the
 list of exemplars, not by the data.
 
-Defined cases: null and blank texts, and N/A markers, are no residue; texts are read whole (a long text is left early
-only when its tokens outside the index already exceed what a title may have); ties between exemplars give the same
+Defined cases: null and blank texts, and N/A markers, are no residue; texts are read whole; ties between exemplars give the same
 answer; repeated rows each come out; an empty table gives no rows.
 """
 
@@ -25,149 +26,133 @@ from pyspark.sql import functions as F
 
 from sievewright.session import arrow_map
 
-#: Labelled exemplars (fixed values). Host names, numbers and identifiers are written as they are; they are dropped.
+#: Labelled exemplars (fixed values): messages that public servers, content systems, browsers and templates write, by
+#: topic, after "topic =". Host names, numbers and identifiers leave no tokens.
 EXEMPLARS = """
-Please enable JavaScript to view this page.
-You need to enable JavaScript to run this app.
-This site relies on scripts; your browser blocks them.
-No preview. Enable scripts or use another browser.
-JavaScript is turned off in your browser. Switch it on and reload site.
-JavaScript is disabled in your browser. Please enable it to continue.
-This page needs javascript
-This site requires JavaScript to be enabled.
-Scripts must be allowed for site to load the article.
-Bitte aktivieren Sie JavaScript in Ihrem Browser, um site zu nutzen.
-Veuillez activer JavaScript pour afficher cette page.
-Active JavaScript en su navegador para continuar.
-Включите JavaScript, чтобы открыть страницу site.
-このページを表示するにはJavaScriptを有効にしてください。
-请启用JavaScript后再访问本页面。
-Ative o JavaScript no seu navegador para continuar.
-Cookie settings. By going on you agree to our use of cookies. Accept Reject
-We use cookies to improve your visit. Accept all | Settings
-This website uses cookies to ensure you get the best experience.
-Your browser must accept cookies for site to work. Cookies are disabled.
-Cookies are disabled in your browser. Please enable cookies and reload.
-Are you a robot? Tick the box to go on.
-Verify that you are human by completing the action below.
-Please verify you are a human
-Please complete the CAPTCHA to continue
-Unusual traffic was detected from your network.
-Just a moment...
-Checking your browser before opening site
-Checking your browser before accessing site
-One more step: please finish the security check to reach site.
-Please complete the security check to access site
-Ray 0
-Request id 0
-Reference: 0
-Page not found. The article you asked for has moved or never existed.
-The page you are looking for could not be found.
-Oops! We can't find that page. Go back to the Press home page.
-Oops! We can't find that page. Go back to the Journals home page.
-Oops! We can't find that page. Go back to the Archive home page.
-Oops! We can't find that page. Go back to the Society home page.
-Oops! We can't find that page. Go back to the Reports home page.
-Oops! We can't find that page. Go back to the Open home page.
-Seite nicht gefunden. Bitte prüfen Sie die Adresse oder kehren Sie zur Startseite von site zurück.
-Page introuvable. Le document demandé n'existe plus sur site.
-Página no encontrada. El recurso solicitado no existe en site.
-Ошибка 404. Страница не найдена.
-抱歉，您访问的页面不存在（错误404）。
-ページが見つかりません。
-Erro 500: a página não pôde ser carregada.
-Zugriff verweigert. Fehlercode 1020.
-Access denied. You do not have permission to access this page on this server.
-Access denied
-Forbidden: you do not have permission to read this page
-Error 404: Not Found
-404 Not Found
-HTTP Status 404 – Not Found
-403 Forbidden
-Error 403: Forbidden
-HTTP Status 403 – Forbidden
-410 Gone
-Error 410: Gone
-HTTP Status 410 – Gone
-429 Too Many Requests
-Error 429: Too Many Requests
-HTTP Status 429 – Too Many Requests
-500 Internal Server Error
-Error 500: Internal Server Error
-HTTP Status 500 – Internal Server Error
-502 Bad Gateway
-Error 502: Bad Gateway
-HTTP Status 502 – Bad Gateway
-503 Service Unavailable
-Error 503: Service Unavailable
-HTTP Status 503 – Service Unavailable
-504 Gateway Timeout
-The requested URL was not found on this server.
-The server at site could not handle the request.
-nginx
-Apache Server
-Sorry, this content is not available right now. Try again later.
-Session expired. Please reload and sign in again.
-We're down for maintenance. Back at 18:00.
-Rate limit exceeded, retry in 286 seconds
-upstream connect error or disconnect/reset before headers
-An unexpected error occurred. Incident has been logged.
-The connection to site timed out after 400 ms.
-SSL certificate problem while contacting site
-The DOI you entered could not be resolved by site.
-TypeError: Cannot read properties of undefined (reading 'abstract')
-SyntaxError: Unexpected token in JSON at position 0
-function(){return this.abstract}
-abstract: undefined
+topic = scripts
+Please enable JavaScript to view this page. You need to enable JavaScript to run this app.
+JavaScript is disabled in your browser. This site requires JavaScript to be enabled; please turn it on and reload the page.
+This page needs scripts to work properly; your browser does not support scripts, or they are blocked, switched off or not allowed.
+We have detected that scripting is off. To use all features, content, article, preview and reader of this website switch it on in settings, or use another, newer or more modern browser.
+Sorry, your browser is not supported or out of date. Update, upgrade or use a different one to continue, display, see, show or open the full text. Unable to load without it; it relies on scripts.
+Bitte aktivieren Sie JavaScript in Ihrem Browser, um diese Seite nutzen, sehen oder anzeigen zu können. Diese Website benötigt JavaScript; es ist deaktiviert.
+Veuillez activer JavaScript dans votre navigateur pour afficher cette page. Ce site a besoin de JavaScript pour fonctionner; il est désactivé.
+Active JavaScript en su navegador para continuar, ver o usar esta página. Este sitio necesita JavaScript; está desactivado. Por favor, habilite.
+Ative o JavaScript no seu navegador para continuar, ver ou usar esta página. Este site precisa do JavaScript; está desativado. Por favor, habilite.
+Attiva JavaScript nel tuo browser per continuare a vedere questa pagina. Il sito richiede JavaScript.
+Включите JavaScript в браузере, чтобы открыть, просмотреть или использовать эту страницу. Для работы сайта требуется JavaScript.
+このページを表示するにはJavaScriptを有効にしてください。ブラウザの設定でJavaScriptが無効になっています。ご利用
+请启用JavaScript后再访问本页面。您的浏览器已禁用JavaScript，请在设置中开启以继续浏览、查看网站。
+이 페이지를 보려면 자바스크립트를 활성화해 주세요. 브라우저에서 JavaScript를 사용하도록 설정하십시오.
+topic = cookies
+We use cookies to improve your experience on our website. By continuing to browse, visit or use this site you agree to our use of cookies and privacy policy.
+Cookies are disabled in your browser. Please enable cookies and reload; this site must be able to set, store and accept cookies to work.
+Cookie settings, preferences and notice. Accept all, reject all, manage or customise. Some cookies are necessary, others help us with analytics, to personalise content and advertising; learn more.
+This website uses cookies to ensure you get the best experience. Got it, I agree, OK, decline, allow, consent, close.
+Wir verwenden Cookies, um Ihr Erlebnis zu verbessern. Alle akzeptieren, ablehnen, Einstellungen. Diese Website nutzt Cookies.
+Ce site utilise des cookies pour améliorer votre expérience. Tout accepter, refuser, paramètres. Nous utilisons.
+Este sitio utiliza cookies para mejorar su experiencia. Aceptar todo, rechazar, configuración. Utilizamos, usamos.
+topic = robots
+Please verify that you are a human. Are you a robot? Complete the action, captcha, challenge or test below, tick, check or click the box to go on, continue or proceed.
+Checking your browser before accessing the site. Just a moment, this process is automatic, please wait a few seconds; you will be redirected shortly.
+One more step: please complete the security check to access this page. Finish it to reach what you asked for. Why do I have to complete a captcha?
+Our systems have detected unusual traffic or activity from your computer, network or address. Automated requests, bots and crawlers were blocked. We need to confirm that it is you and not a program.
+Sorry, you have been blocked. Attention required. Bot protection, verification and firewall active; performance and security by. Your request has been blocked. Reference, request, support, incident or ray id.
+Prove you are not a robot; type the characters or letters you see in the image, picture. Verifying connection is secure. Press and hold the button.
+Bitte bestätigen Sie, dass Sie kein Roboter sind. Sicherheitsprüfung. Einen Moment bitte.
+Veuillez confirmer que vous n'êtes pas un robot. Vérification de sécurité. Un instant.
+Confirme que no es un robot. Comprobación de seguridad. Un momento, por favor.
+Подтвердите, что вы не робот. Проверка безопасности. Подождите.
+请完成验证以证明您不是机器人。安全验证，请稍候。正在检查您的浏览器。
+topic = missing
+The page you are looking for could not be found. Page not found. It may have been moved, removed, deleted, renamed or never existed, or is no longer available; the link is broken, expired, outdated or wrong.
+Oops! Sorry, we can't find the page, article, document, item, resource, record or file you requested, wanted, asked for or were after. Go back, return to the previous or home page, homepage, start, or try a search. That does not exist; nothing here, something is gone or missing.
+404 Not Found. The requested URL, address or resource was not found on this server. 410 Gone. HTTP status error. Check the spelling and try again.
+The identifier or DOI you entered could not be resolved, was not recognised or does not exist. DOI not found.
+Seite nicht gefunden. Die angeforderte Seite existiert nicht oder wurde verschoben. Bitte prüfen Sie die Adresse oder kehren Sie zur Startseite zurück. Fehler.
+Page introuvable. La page ou le document demandé n'existe pas, plus ou a été déplacé. Retour à l'accueil. Erreur sur le site.
+Página no encontrada. La página, el recurso o el documento que busca o solicitado no existe o se ha movido. Volver al inicio. Error en el sitio.
+Página não encontrada. A página ou o recurso que procura não existe ou foi movido. Erro: não pôde ser carregada, servidor.
+Pagina non trovata. La pagina richiesta non esiste. Errore.
+Страница не найдена. Запрошенная страница не существует или была удалена. Ошибка. Вернуться на главную.
+ページが見つかりません。お探しのページは存在しないか、移動または削除されました。エラー
+抱歉，您访问的页面不存在或已被删除。找不到页面，错误。返回首页。请求的资源未找到
+페이지를 찾을 수 없습니다. 요청하신 페이지가 존재하지 않습니다. 오류
+topic = access
+Access denied. You do not have permission, access or authorization to view, read, open or access this page, document, resource or directory on this server. Error code. Contact the administrator.
+403 Forbidden. 401 Unauthorized. Not authorized, not allowed, refused. HTTP status error. Authentication or authorization is required.
+Please log in or sign in to continue, view or read the full text, or to access this content. Your session has expired or timed out; sign in or log in again, once more, and reload. Invalid username or password. You have been logged or signed out. Register or create an account.
+Subscription, purchase or institutional access required to read the full article. Get access, buy, rent, check access, log in via your institution.
+Zugriff verweigert. Sie haben keine Berechtigung, diese Seite aufzurufen. Fehlercode. Bitte melden Sie sich an. Anmelden erforderlich.
+Accès refusé, interdit. Vous n'avez pas l'autorisation d'accéder à cette page. Veuillez vous connecter.
+Acceso denegado. No tiene permiso para acceder a esta página. Inicie sesión.
+Acesso negado. Você não tem permissão para acessar esta página.
+Доступ запрещён. У вас нет прав для просмотра этой страницы. Войдите.
+访问被拒绝。您没有权限访问此页面。请登录
+topic = server
+500 Internal Server Error. 502 Bad Gateway. 503 Service Unavailable. 504 Gateway Timeout. 429 Too Many Requests. 400 Bad Request. HTTP status error. nginx, Apache Server at port.
+The server encountered an internal or unexpected error and was unable to complete, handle, process or serve your request. Please try again later or contact support. It has been logged, reported; we are working on it, apologise for the inconvenience.
+The service or site is temporarily unavailable, overloaded, or down for maintenance, scheduled maintenance; we'll be back soon, shortly, at. Capacity problems; upgrading.
+Something went wrong, sorry, an error occurred, has occurred. Unable to load or display this content right now, at this time. It is not available. Refresh or reload the page. Whoops, failed, retry. An unexpected application, fatal, runtime, client error or incident.
+Rate limit exceeded, retry in seconds. Too many requests from this address, slow down. Quota. Limit reached.
+Error establishing a database connection. Connection refused, closed, reset, lost, failed or timed out. The connection to the host timed out after ms. Upstream connect error or disconnect before headers. No response; unreachable, offline. Check your internet or network.
+SSL certificate problem while contacting. Your connection is not private or secure. Invalid, expired certificate; handshake failed. DNS name lookup could not be resolved.
+Dienst nicht verfügbar. Interner Serverfehler. Bitte versuchen Sie es später erneut. Wartungsarbeiten.
+Service indisponible. Erreur interne du serveur. Veuillez réessayer plus tard. Maintenance.
+Servicio no disponible. Error interno del servidor. Inténtelo de nuevo más tarde. Mantenimiento.
+Внутренняя ошибка сервера. Сервис временно недоступен. Попробуйте позже.
+服务器内部错误，服务暂时不可用，请稍后再试。系统维护中
+topic = code
+TypeError: Cannot read property or properties of undefined or null (reading abstract). undefined is not a function, object or defined. ReferenceError.
+SyntaxError: Unexpected token or end of JSON input at position. Failed to fetch, parse, execute. line column
+function(){return this.abstract} var let const window document getElementById innerHTML onload push new Date true false
+Fatal error: Uncaught exception, Error: Call to undefined function. Warning: mysqli_connect(), include, require: failed to open stream: no such file or directory in /var/www/html/db.php on line. mysqli_connect(): Connection refused. Notice: Undefined index or variable. Stack trace thrown db inc
+java.lang.NullPointerException at org.render main thread. Exception in thread. Caused by. at com java servlet. ArrayIndexOutOfBoundsException, ClassNotFoundException
+Traceback (most recent call last): File line in module. KeyError, ValueError, NameError, AttributeError: object has no attribute. Internal exception py
 undefined
-undefined undefined
 null
 NaN
 [object Object]
-[object HTMLDivElement]
+[object HTMLDivElement] HTMLElement
 #REF!
 #N/A
 #VALUE!
-Share Cite Download Export citation Toggle navigation
-Skip to main content Menu Search Sign in Register Cart (0)
-Home About Contact Login Search
-Bot protection active
-Your request has been blocked (id 0)
-Please wait while we load
-Warning: mysqli_connect(): connection refused in /var/www/site/db.inc on line 38
-java.lang.NullPointerException at org.render
-Traceback (most recent call last): File "/srv/app/site.py", line 586
-Fatal error: Uncaught exception
-Loading...
-Loading abstract, please wait
-Please wait
-Click here to enter text.
-Type or paste the summary of your paper in this box.
-Placeholder abstract for record 746
-Abstract goes here
-abstract
-abstract abstract abstract
-Your abstract text (max. 250 words)
-Your abstract here
-tbd
-to be added
-TODO: add abstract
-Sample abstract - do not publish
-Insert abstract here
-Hier steht Ihre Zusammenfassung
-Insira aqui o resumo do artigo
-在此处输入摘要
-test test 123
+#NAME? #DIV/0!
+nil None
+topic = furniture
+Share, cite, download, print, email, save, export citation, permissions, add to favourites, follow, alerts, metrics, tools, references, related, figures, tables. Toggle navigation.
+Skip to main content. Menu, search, sign in, log in, register, cart, basket, account, help, subscribe, journals, books, browse, submit, about us, contact, home, login, news, archive, current issue. Open or close menu.
+Twitter, Facebook, LinkedIn, Reddit, WeChat, copy link, back to top, next, previous, article, view, PDF, full text, show more, read more, expand, collapse, terms, conditions, privacy, all rights reserved.
+topic = loading
+Loading. Please wait while we load, fetch, get, retrieve or prepare the page, content, abstract or article. Loading abstract, one moment, hold on, this may take a few seconds. Redirecting. Processing your request. Please stand by.
+Laden. Bitte warten. Chargement en cours, veuillez patienter. Cargando, espere por favor. Carregando, aguarde. Загрузка, подождите. 加载中，请稍候。読み込み中です。お待ちください
+topic = placeholder
+Abstract goes here. Your abstract here. Insert, add, enter, type, paste, write or put the abstract, summary, text or description of your paper, article or manuscript in this box, field, area, section or space. Click or tap here to enter, add or edit text. Replace this text with your own.
+Your abstract text (max. words). Maximum or minimum characters. Abstract should be no more, fewer or longer than words. Limit.
+Sample, dummy, example, placeholder or test abstract for record, article. Do not publish, ignore, delete, remove. This is a test, only, just testing.
+To be added, announced, determined, completed, supplied, provided or written later. TBD TBA TODO FIXME: add abstract. Coming soon. Pending, forthcoming, under construction. Abstract to follow.
+abstract abstract abstract text text title title content description summary
+test. test test. test test test testing
 xxx xxx xxx
-Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
-lorem ipsum dolor, sed magna.
-Dolor sit amet consectetur elit lorem ipsum lorem.
-Lorem ipsum dolor sit amet, velit nor tempor
+asdf qwerty foo bar baz blah
+Hier steht Ihre Zusammenfassung. Zusammenfassung hier einfügen, eingeben. Text folgt. Platzhalter
+Insérez votre résumé ici. Saisissez, ajoutez le texte du résumé. Résumé à venir
+Inserte aquí el resumen del artículo. Escriba, añada su texto. Resumen pendiente
+Insira aqui o resumo do artigo. Digite, escreva seu texto. Resumo pendente
+Inserire qui il riassunto, abstract dell'articolo. Testo
+Вставьте сюда аннотацию, текст. Аннотация будет добавлена позже. Введите
+在此处输入摘要。请填写文章摘要内容。摘要待添加
+ここに要旨を入力してください。抄録、概要、準備中
+여기에 초록을 입력하세요. 초록 내용
+topic = filler
+Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
 """
 #: Containment of a window in its exemplar, and of the exemplar in the window.
 CONTAINED, COMPLETE = 0.55, 0.6
-#: Most words (or characters of scripts without spaces) beside the residue that still count as a title.
-TITLE_WORDS = 26
+#: Containment of a window in the wording of a topic, and its least mass in tokens that are as rare as an unknown one.
+IN_TOPIC, TOPIC_MASS = 0.6, 1.5
+#: Most words (or pairs of characters of scripts without spaces) beside the residue that still count as a title.
+TITLE_WORDS = 60
 #: Coverage from which a text counts as residue.
 COVERED = 0.8
 NOT_AVAILABLE = ("", "n/a", "na", "none", "-")
@@ -176,7 +161,7 @@ _PLACE = re.compile(
     r"\{\{.*?\}\}|\$\{.*?\}|#\{.*?\}|<%.*?%>|\{%.*?%\}|\[\[.*?\]\]|@@\S+?@@|__[\w.]+?__|<\?(?:php)?.*?\?>|%%\S+?%%", re.S | re.I
 )
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
-_SITE = re.compile(r"\b(?:https?://)?[\w-]+(?:\.[\w-]+)*\.(?:[a-z]{2,})\b(?:/\S*)?", re.I)
+_SITE = re.compile(r"\b(?:https?://)?(?!(?:java|javax|org|com|net)\.)[\w-]+(?:\.[\w-]+)*\.(?:[a-z]{2,})\b(?:/\S*)?", re.I)
 _TOKEN = re.compile(r"\x01|[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|#[A-Z/]+!?", re.I)
 _IDENT = re.compile(r"\b(?=\w*\d)[0-9a-f]{6,}\b", re.I)
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힣฀-๿]")
@@ -220,11 +205,17 @@ class Index:
         self.other = math.log(1 + self.n / (1 + max(1, self.n // 50)))
         self.exemplars: list[dict[str, int]] = [{"\x01": 0}]
         self.lengths = [1]
+        topics: list[set[str]] = []
         for line in EXEMPLARS.strip().splitlines():
-            words = [w for w, _, _ in tokens(prepare(line.replace(" site", " ")))]
-            if words and words != ["\x01"]:
-                self.exemplars.append({w: i for i, w in reversed(list(enumerate(words)))})
-                self.lengths.append(len(words))
+            if line.startswith("topic ="):
+                topics.append(set())
+                continue
+            for sentence in re.split(r"(?<=[.!?。！？])\s*", line):
+                words = [w for w, _, _ in tokens(prepare(sentence))]
+                if words and words != ["\x01"]:
+                    topics[-1].update(words)
+                    self.exemplars.append({w: i for i, w in reversed(list(enumerate(words)))})
+                    self.lengths.append(len(words))
         self.known = {w: 0.3 + math.log(1 + self.n / (1 + frequency.get(w, 0))) for e in self.exemplars for w in e}
         self.mass = [sum(map(self.known.get, e)) for e in self.exemplars]
         self.postings: dict[str, list[int]] = defaultdict(list)
@@ -235,6 +226,13 @@ class Index:
                 held += self.known[w]
                 if held > (1 - COMPLETE) * self.mass[k]:
                     break
+        # a topic is looked at only where one of its rare words occurs
+        self.topics = topics
+        self.rare: dict[str, list[int]] = defaultdict(list)
+        for k, topic in enumerate(topics):
+            for w in sorted(topic):
+                if self.known[w] >= self.other:
+                    self.rare[w].append(k)
 
     def covered(self, found: list[tuple[str, int, int]]) -> list[bool]:
         """For each token, whether a residue window holds it."""
@@ -251,9 +249,9 @@ class Index:
                         begin += 1
                     while end > begin and words[end - 1] not in exemplar:
                         end -= 1
-                    if begin >= end or (k, begin * 4096 + end) in tried:
+                    if begin >= end or (k, begin << 32 | end) in tried:
                         continue
-                    tried.add((k, begin * 4096 + end))
+                    tried.add((k, begin << 32 | end))
                     mine = sum(weights[begin:end])
                     inside = sum(wt for x, wt in zip(words[begin:end], weights[begin:end], strict=True) if x in exemplar)
                     if inside < CONTAINED * mine:
@@ -261,21 +259,58 @@ class Index:
                     if sum(self.known[x] for x in set(words[begin:end]) if x in exemplar) >= COMPLETE * self.mass[k]:
                         cover[begin:end] = [True] * (end - begin)
                         break
+        for k in sorted({k for w in words for k in self.rare.get(w, ())}):
+            for begin, end in self.best_windows(words, weights, k):
+                cover[begin:end] = [True] * (end - begin)
         return cover
 
+    def best_windows(self, words: list[str], weights: list[float], k: int) -> list[tuple[int, int]]:
+        """The windows that a topic's wording contains best: stretches with the greatest surplus of its mass over the
+        share that foreign words may have, which hold two rare words of the topic (one, if they are all of the text)
+        and enough mass."""
+        topic, out = self.topics[k], []
+        fine = IN_TOPIC / (1 - IN_TOPIC)
+        at = 0
+        while at < len(words):
+            if words[at] not in topic:
+                at += 1
+                continue
+            gain = best = 0.0
+            end = at
+            for j in range(at, len(words)):
+                gain += weights[j] if words[j] in topic else -weights[j] * fine
+                if gain < 0:
+                    break
+                if gain > best:
+                    best, end = gain, j + 1
+            held = {w for w in words[at:end] if w in topic}
+            rare = sum(k in self.rare.get(w, ()) for w in held)
+            if sum(self.known[w] for w in held) >= TOPIC_MASS * self.other and (rare > 1 or rare and end - at == len(words)):
+                out.append((at, end))
+            at = max(end, at + 1)
+        return out
+
+    def hopeless(self, words: list[str]) -> bool:
+        """Whether so many words are foreign to the index that no windows can cover the text but for a title.
+
+        A window's foreign mass is at most (1 - CONTAINED) / CONTAINED of its known mass, and windows that cover a text
+        can be chosen so that no token lies in more than two.
+        """
+        known = sum(self.known[w] for w in words if w in self.known)
+        foreign = sum(w not in self.known for w in words)
+        bare = foreign - 2 * (1 - CONTAINED) / CONTAINED * known / self.other
+        return bare > max(TITLE_WORDS, (1 - COVERED) * len(words))
+
     def score(self, text: str | None) -> float:
         """Share of the text that residue covers, 1.0 if nothing but a title is beside it; 0.0 for no residue."""
         if text is None or text.strip().lower() in NOT_AVAILABLE:
             return 0.0
-        plain = re.findall(r"[^\W\d_]+", text.lower())
-        if len(plain) > TITLE_WORDS:  # leave when the tokens outside the index exceed a title and what windows may hold
-            if sum(w not in self.known for w in plain) > TITLE_WORDS + 0.3 * len(plain):
-                return 0.0
         ready = prepare(text)
         found = tokens(ready)
         if not found:
             return 1.0 if "\x01" in ready else 0.0
-        if not any(w in self.postings for w, _, _ in found):
+        words = [w for w, _, _ in found]
+        if not any(w in self.postings or w in self.rare for w in words) or self.hopeless(words):
             return 0.0
         cover = self.covered(found)
         if not any(cover):

@@ -52,8 +52,9 @@ ocak şubat mart nisan mayıs haziran temmuz ağustos eylül ekim kasım aralık
 """
 #: Words before a number with which a Thai sentence may end.
 THAI_REFERENCE = ("รูปที่", "ตารางที่", "ภาพที่")
-#: Longest heading, in characters and in words.
-HEADING_CHARS, HEADING_WORDS = 40, 5
+#: A line that is neither numbered nor capitalised throughout is a heading only if it is this short (characters, words):
+#: longer ones look like a line that was broken by its width. Numbered and capitalised headings may have any length.
+PLAIN_CHARS, PLAIN_WORDS = 40, 5
 CHUNK, SLICE = 64, 400_000
 
 SYMBOLS = ("LOWER", "UPPER", "DIGIT", "TERM", "WEAK", "OPENQ", "CLOSEQ", "CLOSEB", "OPENB", "SPACE", "BREAK", "CTERM", "HIRA", "MID", "STERM", "RESET")
@@ -330,14 +331,26 @@ def _headings(cp, kind, row, breaks, newline, behind, ahead, first, space, t) ->
     prev = np.maximum(line_start - 1, 0)
     opening = first[line_start] | (kind[prev] == BREAK) | first[prev] & space[prev]
     words = np.r_[0, np.cumsum(space & ~np.r_[False, space[:-1]])]
-    few = words[breaks] - words[line_start] < HEADING_WORDS
+    few = (words[breaks] - words[line_start] < PLAIN_WORDS) & (size <= PLAIN_CHARS)
+    # numbered: digits and full stops, a space, then a capital; capitalised: no word of four letters or more in small letters
+    digit, letter, upper = t["digit"][cp], t["letter"][cp], t["upper"][cp]
+    after_number = np.minimum.accumulate(np.where(digit | (cp == 46), n, index)[::-1])[::-1]
+    numbered_end = np.minimum(after_number[line_start], n - 1)
+    numbered = digit[line_start] & space[numbered_end] & upper[np.minimum(numbered_end + 1, n - 1)]
+    begins = letter & ~np.r_[False, letter[:-1]]
+    long_word = np.zeros(n, bool)
+    if n > 3:
+        long_word[: n - 3] = begins[: n - 3] & letter[1 : n - 2] & letter[2 : n - 1] & letter[3:]
+    small = np.r_[0, np.cumsum(long_word & ~upper)]
+    many = np.r_[0, np.cumsum(long_word & upper)]
+    capitalised = (small[breaks] == small[line_start]) & (many[breaks] - many[line_start] > 1)
     tail = np.maximum(behind[breaks], 0)
     unclosed = ~np.isin(kind[tail], (TERM, WEAK, STERM, CTERM, CLOSEQ)) & ~np.isin(cp[tail], np.array([44, 58, 59, 0x3001, 0xFF0C]))
     nxt = np.minimum(ahead[breaks], n - 1)
     starts = np.isin(kind[nxt], (UPPER, OPENQ, HIRA, DIGIT)) & (row[nxt] == row[breaks])
     head = np.isin(kind[line_start], (UPPER, DIGIT, HIRA))
     mids = np.r_[0, np.cumsum((cp == 44) | (cp == 0x3001) | (cp == 0xFF0C))]
-    return opening & (size <= HEADING_CHARS) & (size > 0) & few & unclosed & starts & head & (mids[breaks] == mids[line_start]) & ~t["thai"][cp[line_start]]
+    return opening & (size > 0) & (few | numbered | capitalised) & unclosed & starts & head & (mids[breaks] == mids[line_start]) & ~t["thai"][cp[line_start]]
 
 
 def run_transducer(stream: np.ndarray) -> np.ndarray:

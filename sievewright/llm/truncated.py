@@ -36,20 +36,24 @@ ENDS = ".!?。！？।؟…．｡"
 CLOSERS = "\"'”’»“)]）】」』›"
 INVISIBLE = "​‌‍⁠﻿‎‏­"
 SIGNS = ("...", "…", " …", "... (more)", " [...]", " […]", "-", "–", "&hellip;", "&hel", "&#82", " ...", "..", " (more)", "... Read more", ",")
-_TRAILER = re.compile(
-    r"""(?:^|[\s.,;\]])(?:
-      (?:key\s?-?words?|index\s+terms|subject\s+headings|JEL|MSC|palavras-chave|mots[- ]cl[ée]s|schl[üu]sselw[öo]rter|palabras\s+clave|
+#: What a trailer begins with: a label of keywords and a colon, an identifier, a mark of copyright.
+_LABEL = re.compile(
+    r"""(?:^|(?<=[\s.,;。\]]))(?:
+      (?P<list>(?:key\s?-?words?|index\s+terms|subject\s+headings|JEL|MSC|palavras-chave|mots[- ]cl[ée]s|schl[üu]sselw[öo]rter|palabras\s+clave|
          parole\s+chiave|anahtar\s+kelimeler|s[łl]owa\s+kluczowe|kata\s+kunci|ключевые\s+слова|关键词|關鍵詞|キーワード|주제어|핵심어|कुंजी\s*शब्द|
-         الكلمات\s+المفتاحية|คำสำคัญ)[^:：]{0,20}[:：].*
-      |(?:doi|DOI|arXiv|PMID|ISSN|ISBN|URN|hdl|https?)\s?:\s?\S+
-      |10\.\d{4,9}/\S+
-      |(?:©|\(c\)|\(C\)|Copyright|&copy;).*
-      |(?:\w+\s){1,3}(?:Press|Publishers?|Society|Journals|Reports|Archive|Verlag)
-    )$""",
-    re.X | re.S | re.I,
+         الكلمات\s+المفتاحية|คำสำคัญ)[^:：\n]{0,20}[:：])
+      |(?P<ident>(?:doi|arXiv|PMID|ISSN|ISBN|URN|hdl|https?)\s?:\s?|10\.\d{4,9}/)
+      |(?P<right>©|\(c\)|Copyright|&copy;)
+    )""",
+    re.X | re.I,
 )
-#: Imprints with full stops of their own: volume and number after a name, or a volume in square brackets.
-_IMPRINT = re.compile(r"(?:,\s[^.,;()]{3,60},\s(?:Vol|Jg|T|Bd)\.\s?\d+,\s(?:No|Nr|Iss|Heft)\.\s?\d+|\[[^\[\]]{3,80}\b(?:vol|no)\.\s?\d+\])$", re.I)
+#: Imprints: volume and number after a name, a volume in square brackets, or a publisher's name of its own after a closing mark.
+_IMPRINT = re.compile(
+    r"""(?:,\s[^.,;()]{3,},\s(?:Vol|Jg|T|Bd)\.\s?\d+,\s(?:No|Nr|Iss|Heft)\.\s?\d+|\[[^\[\]]{3,}\b(?:vol|no)\.\s?\d+\]
+    |(?<=[.!?。！？।؟…"'”’»“)\]])\s*(?:\w+\s){1,3}(?:Press|Publishers?|Society|Journals|Reports|Archive|Verlag))$""",
+    re.X | re.I,
+)
+_ITEM = re.compile(r"[;,、；，·•|/\n]|\s[-–—]\s|\.\s")
 #: What is put after intact texts in training, so that each kind of ending is known.
 TRAILERS = ("\nKeywords: soil; yield", " Key words: wells, rivers", " doi:10.1000/182", " © The authors", " (C) 2019 City Press", " JEL: Q12", " [City Reports, vol. 4]", ", City Press, Vol. 6, No. 4")
 _ENTITY = re.compile(r"&#?\w{1,7}$")
@@ -64,12 +68,26 @@ def trimmed(text: str) -> str:
     return text.rstrip().rstrip(INVISIBLE).rstrip()
 
 
-def has_trailer(text: str) -> bool:
-    """Ends with keywords, an imprint or an identifier."""
-    if _IMPRINT.search(text[-160:]):
-        return True
-    cut = max(text.rfind(". ", 0, len(text) - 2), text.rfind("\n"), text.rfind("。", 0, len(text) - 1))
-    return _TRAILER.search(text[max(0, cut, len(text) - 240) :]) is not None
+def trailer(text: str) -> tuple[int, str]:
+    """Where the trailer of a text begins, and its kind; (length, "") without one.
+
+    The whole text is searched. Keywords are a trailer if each item after their label is short, an identifier if nothing
+    follows it, a mark of copyright if no sentence follows it.
+    """
+    m = _IMPRINT.search(text)
+    if m:
+        return m.start(), "imprint"
+    for m in _LABEL.finditer(text):
+        rest = text[m.end() :]
+        if m["list"]:
+            if all(len(item.split()) < 7 and len(item) < 80 for item in _ITEM.split(rest)):
+                return m.start(), "list"
+        elif m["ident"]:
+            if not re.search(r"\s", rest.strip()):
+                return m.start(), "ident"
+        elif len(rest.split()) < 12:
+            return m.start(), "right"
+    return len(text), ""
 
 
 def closed(text: str) -> bool:
@@ -80,13 +98,14 @@ def closed(text: str) -> bool:
 
 def features(text: str, at_limit: bool) -> list[int]:
     """Hashed features of the end of a text."""
+    # a closed text needs no look for a trailer; behind one, the end of the text before it is judged, beside the trailer's kind
+    at, kind = (len(text), "") if closed(text) else trailer(text)
+    whole, text = text, trimmed(text[:at])
     tail = re.sub(r"\d", "0", text[-24:])
     token = re.split(r"\s", tail)[-1][-14:]
     body = text.rstrip(CLOSERS)
     last = body[-1:] or " "
     shut = last in ENDS
-    if has_trailer(text):  # what stands at the very end is no closing of a sentence
-        return [zlib.crc32(n.encode()) % SPACE for n in ("k", f"k{_MARKED.search(text) is not None}{_ENTITY.search(tail) is not None}")]
     names = [f"c{tail[-1:]}", f"d{tail[-2:]}", f"e{tail[-3:]}", f"s{shut}"]
     names.append(f"m{bool(_MARKED.search(text))}{bool(_ENTITY.search(tail))}")
     names.append(f"q{_open(text)}{shut}")
@@ -98,6 +117,8 @@ def features(text: str, at_limit: bool) -> list[int]:
         names.append(f"w{token.lower()}" if len(token) < 6 else "w+")
         names.append("n" + re.sub(r"\w", "a", re.sub(r"\d", "0", token[-6:])))
     names.append(f"l{at_limit}")
+    if kind:
+        names += [f"k{kind}", f"k{kind}{shut}", f"K{_MARKED.search(whole) is not None}{_ENTITY.search(whole[-10:]) is not None}"]
     return [zlib.crc32(n.encode()) % SPACE for n in names]
 
 
@@ -144,7 +165,7 @@ class Model:
         if text is None:
             return 0.0
         text = trimmed(text)
-        if text.lower() in _BLANK or len(text) < 4:
+        if text.lower() in _BLANK:
             return 0.0
         z = float(self.weights[features(text, at_limit)].sum())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -158,12 +179,13 @@ def fit(texts: list[str], seed: int = 7, epochs: int = 12) -> Model:
     for raw in texts:
         text = trimmed(raw)
         thai = bool(_THAI_END.search(text[-12:])) and ends[text[-5:]] > 1  # an end seen once may be a cut
-        if not (closed(text) or has_trailer(text) or thai) or _open(text) or _MARKED.search(text):
+        if not (closed(text) or trailer(text)[1] or thai) or _open(text) or _MARKED.search(text):
             continue
         rows.append((features(text, rng.random() < 0.01), 0))
         if rng.random() < 0.2:  # an intact text with what may follow one
             rows.append((features(text + rng.choice(TRAILERS), False), 0))
-        rows += [(features(piece, rng.random() < 0.3), 1) for piece in cuts(text, rng)]
+        # a cut within a trailer leaves a whole text, so only what stands before it is cut
+        rows += [(features(piece, rng.random() < 0.3), 1) for piece in cuts(trimmed(text[: trailer(text)[0]]), rng)]
     weights = np.zeros(SPACE)
     if not rows:
         return Model(weights)
@@ -190,7 +212,7 @@ def fit(texts: list[str], seed: int = 7, epochs: int = 12) -> Model:
 def source_limits(df: DataFrame, text: str, source: str) -> DataFrame:
     """Per source, the length at which its unclosed texts pile up: columns `source`, `cut_at`. Counted over all rows."""
     unclosed = df.where(
-        F.col(text).isNotNull() & ~F.rtrim(F.col(text)).rlike(r"""[.!?。！？।؟]["'”’»“)\]）】」』›\s]*$""") & (F.length(text) > 40)
+        F.col(text).isNotNull() & ~F.rtrim(F.col(text)).rlike(r"""[.!?。！？।؟]["'”’»“)\]）】」』›\s]*$""") & ~F.lower(F.trim(F.col(text))).isin(*_BLANK)
     )
     # copies of one text, landed again, count once
     texts = unclosed.groupBy(F.col(source).alias("source"), F.length(text).alias("n"), F.xxhash64(text)).agg(F.count("*"))
@@ -211,7 +233,8 @@ def sample(df: DataFrame, text: str, bound: int = TRAIN_TEXTS) -> list[str]:
     share = {k: int(min(1.0, bound / 2 / max(1, n)) * 1_000_000) + 1 for k, n in sizes.items()}
     limit = F.when(F.col("unspaced"), F.lit(share.get(True, 0))).otherwise(F.lit(share.get(False, 0)))
     picked = chosen.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < limit)
-    return sorted(r["t"] for r in picked.select("t").limit(2 * bound).collect())
+    # the bound holds whatever the hashes; which texts are left is fixed by their hashes too
+    return sorted(r["t"] for r in picked.select("t").orderBy(F.xxhash64("t"), "t").limit(2 * bound).collect())
 
 
 def truncation_scores(

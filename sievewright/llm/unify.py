@@ -7,7 +7,8 @@ string method is called per row.
 
 Two forms: `canonical` keeps look-alike letters of a word in one script as they are and resolves words that mix
 scripts towards the script of their text; `skeleton` maps every look-alike letter to one prototype on both sides of a
-comparison, whatever the word. Accents, figures, case and words stay, so real differences stay.
+comparison, whatever the word. Accents, figures (raised and lowered ones and fractions too), case and words stay, so real
+differences stay.
 
 Defined cases: null stays null; an empty text stays empty; spaces at the ends are dropped; line breaks stay; texts of
 any length are processed whole; repeated rows are treated alike.
@@ -67,7 +68,10 @@ def tables() -> dict[str, np.ndarray]:
         if invisible[c]:
             length[c] = 0
             continue
-        parts = unicodedata.normalize("NFKD", ch) if unicodedata.decomposition(ch) or 0xAC00 <= c < 0xD7A4 else ch
+        made_of = unicodedata.decomposition(ch)
+        raised = made_of.startswith(("<super>", "<sub>", "<fraction>")) and any(unicodedata.normalize("NFKD", x).isdecimal() for x in ch) or made_of.startswith("<fraction>")
+        # raised and lowered figures and fractions are other figures than the plain ones
+        parts = unicodedata.normalize("NFKD", ch) if (made_of or 0xAC00 <= c < 0xD7A4) and not raised else ch
         out = [32 if chr(x).isspace() else signs.get(x, x) for x in map(ord, parts) if not invisible[x]]
         if out != [c]:
             put(c, out)

@@ -186,14 +186,15 @@ def _let(value: Column, body) -> Column:
 
 
 def similarity(x: Column, y: Column) -> Column:
-    """Soft weighted token similarity of two name structs (full, ini, w), and which tokens met their initials (`score`,
+    """Soft weighted token similarity of two name structs (full, ini, w: the weights of both in order), and which tokens met their initials (`score`,
     `given`); NULL where the names cannot be one person.
 
     At most one token differs by a slip; a token without partner must have its initial on the other side; initials may
     be left over on one side only; two tokens at least must have partners. Of two spellings of a token the commoner one
     tells how rare it is.
     """
-    mass = lambda c, w: F.aggregate(c, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(w, t), F.lit(0.0)))
+    weight = lambda side, t: F.get(side["w"], (F.array_position(F.concat(side["full"], side["ini"]), t) - 1).cast("int")).cast("double")
+    mass = lambda c, side: F.aggregate(c, F.lit(0.0), lambda a, t: a + F.coalesce(weight(side, t), F.lit(0.0)))
 
     def oriented(p: Column) -> Column:
         longer, shorter = p["l"], p["s"]
@@ -213,11 +214,10 @@ def similarity(x: Column, y: Column) -> Column:
         def judged(q: Column, odd: Column, m: Column) -> Column:
             only_l, only_s = F.array_except(longer["ini"], q["i"]), F.array_except(q["i"], longer["ini"])
             equal, both = F.array_intersect(longer["full"], shorter["full"]), F.array_intersect(longer["ini"], q["i"])
-            wl, ws = longer["w"], shorter["w"]
-            sure = mass(F.concat(equal, q["short"], both), ws)
-            rarity = F.when(m.isNull(), 0.0).otherwise(F.least(F.try_element_at(wl, m), F.try_element_at(ws, odd)))
+            sure = mass(F.concat(equal, q["short"], both), shorter)
+            rarity = F.when(m.isNull(), 0.0).otherwise(F.least(weight(longer, m), weight(shorter, odd)))
             like = F.when(m.isNull(), 0.0).otherwise(1 - 1 / F.greatest(F.length(m), F.length(odd)))
-            over = mass(only_l, wl) + mass(only_s, ws)
+            over = mass(only_l, longer) + mass(only_s, shorter)
             several = F.size(equal) + F.size(q["short"]) + F.size(both) + F.when(m.isNull(), 0).otherwise(1) > 1
             score = F.struct(((sure + rarity * like) / (sure + rarity + over)).alias("score"), F.concat_ws(" ", q["given"]).alias("given"))
             return F.when(several & ((F.size(only_l) == 0) | (F.size(only_s) == 0)), score)
@@ -303,7 +303,7 @@ def _weighted(spellings: DataFrame) -> DataFrame:
     vocabulary = cut(spread.groupBy("t").agg(rarity.alias("w")))
     tokens = cut(vocabulary.join(prefixes(vocabulary, gram_counts(vocabulary)), "t"))
     made = spread.join(small(tokens), "t").groupBy("place", "sid").agg(F.map_from_entries(F.collect_set(F.struct("t", "w"))).alias("w"), F.collect_set(F.struct("t", "p")).alias("posted"))
-    joined = spellings.join(made, ["place", "sid"])
+    joined = spellings.join(made, ["place", "sid"]).withColumn("w", F.transform(F.concat("full", "ini"), lambda t: F.col("w")[t].cast("float")))
     return cut(joined.withColumn("posted", F.filter("posted", lambda p: F.array_contains("full", p["t"]))))
 
 

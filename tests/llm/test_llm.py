@@ -51,7 +51,8 @@ def test_garbled_operator(spark):
 
 @pytest.fixture(scope="module")
 def index():
-    return residue.Index({}, 1000)
+    words = "the of and in to is are for a on by at it this that with from as was be or not we which were between site survey access test".split()
+    return residue.Index(dict.fromkeys(words, 600), 1000)
 
 
 REAL = "The cookie notice was accepted by 743 of 924 readers in the study, and the share of those who enabled scripts rose by 4 per cent between the two surveys."
@@ -71,6 +72,39 @@ def test_no_residue(index, text):
     assert index.score(text) < residue.COVERED
 
 
+#: Everyday messages in words of their own, none of which is an exemplar.
+HELD_OUT = [
+    "Error establishing a database connection", "Your session has timed out; log in once more.", "Whoops, looks like something went wrong.", "This content is not available in your region right now, sorry.",
+    "You have reached the limit of requests, please try again in a few minutes.", "Our website is undergoing scheduled maintenance. We will be back shortly.", "The document you requested has been removed or is no longer available.",
+    "To continue, please confirm you are not a robot.", "Please turn on JavaScript in your browser settings and refresh the page.", "By using this website you agree to our cookie policy. Accept", "We need to verify your connection before you can proceed. This may take a few seconds.",
+    "Your browser is outdated. Please upgrade to view this content.", "Sign in to read the full article", "You do not have access to this content. Log in via your institution.", "An internal error occurred while processing your request. Please contact support.",
+    "The requested resource could not be located on the server.", "Nothing found here. Try searching or go to the home page.", "Connection lost. Check your network and reload the page.", "Service temporarily overloaded, retry later", "Failed to load content. Refresh to try again.",
+    "Enter the summary of your article here", "Abstract to be added later", "Add your abstract text here (maximum 300 words)", "This is a dummy text, please ignore", "Text coming soon", "Fetching abstract... hold on", "Redirecting, please stand by", "TypeError: undefined is not a function",
+    "Exception in thread main java.lang.NullPointerException", "Warning: require(): failed to open stream in /srv/www/index.php on line 12", "Menu Home Journals About us Contact Log in Register", "Share on Twitter Share on Facebook Download PDF Export citation",
+    "Sed ut enim ad minim veniam quis nostrud exercitation ullamco", "Diese Seite existiert leider nicht. Zurück zur Startseite", "Bitte schalten Sie JavaScript ein, um diese Seite anzuzeigen", "Cette page n'existe plus. Retour à l'accueil", "La página solicitada no existe", "Запрошенная страница не существует",
+    "页面不存在，请返回首页", "Merci de patienter, chargement en cours",
+]
+
+
+def test_residue_in_other_words(index):
+    found = [index.score(t) >= residue.COVERED for t in HELD_OUT]
+    assert np.mean(found) >= 0.9, [t for t, f in zip(HELD_OUT, found, strict=True) if not f]
+
+
+@pytest.mark.parametrize("text", [
+    "The survey was repeated in the valley and the yield of the wells rose by a third. Access to the server was logged.", "A total of 964 school districts entered the study, of which 198 met the go…",
+    "We describe a test of cookie banners. Readers were asked to accept all cookies or to reject them, and 43 per cent did so within two seconds.", "Maintenance of pumps in rural wells: a review of service and repair in 12 districts.",
+])
+def test_real_texts_with_words_of_messages(index, text):
+    assert index.score(text) < residue.COVERED
+
+
+def test_titles_of_any_length_and_long_markup(index):
+    title = "On the yield of bee hives and of wells in the uplands " * 4
+    assert index.score(title + "Please enable JavaScript to view this page.") >= residue.COVERED
+    assert index.score('<div class="very long markup of a kind" data-name="something else entirely">' * 30 + "Access denied</div>") >= residue.COVERED
+
+
 def test_residue_operator(spark):
     df = spark.createDataFrame([(1, "Just a moment...", 0.0), (2, REAL, 0.0), (3, None, 0.0)], "id long, t string, coverage double")
     assert [r.id for r in residue.residue_scores(df, "id", "t").collect()] == [1]
