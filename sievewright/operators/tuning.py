@@ -5,8 +5,6 @@ Empty input gives no row. Ties keep the first (lowest) value, as stated per esti
 
 from __future__ import annotations
 
-import random
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,9 +125,3 @@ def bootstrap(df: DataFrame, value: str, rounds: int = 1000, seed: int = 42, cel
 
     means = tasks.mapInPandas(lambda it: (draw(p) for p in it), "mean double")
     return nearest_rank(means, "mean", [0.025, 0.5, 0.975])
-
-
-def resample_indices(n: int, seed: int = 42) -> list[int]:
-    """Positions of one resample in the order of the standard generator."""
-    rng = random.Random(seed)
-    return [rng.randrange(n) for _ in range(n)]

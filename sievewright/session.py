@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size is below this; larger sides use a shuffled join.
@@ -20,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir. Where it is unset, a session that runs on this machine
+    alone (tests) gets a folder of its own; on a cluster that is an error, as a local folder would not be shared."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sievewright-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -56,19 +58,3 @@ def arrow_map(
                     yield out
 
     return df.mapInArrow(run, schema)
-
-
-def parallel(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows over the session's shuffle partitions, for tables whose files are fewer than the cores."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys) if keys else df.repartition(n)
-
-
-def pick(df: DataFrame, wanted: Sequence[tuple[str, Column | str]]) -> DataFrame:
-    """Only the named columns, so that further columns of the input, whatever their names, cannot clash."""
-    return df.select(*[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in wanted])
-
-
-def env_dir(name: str, default: str) -> str:
-    """A folder given by an environment variable, or its default."""
-    return os.environ.get(name, default)
