@@ -21,25 +21,30 @@ def _abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.unionByName(parsed)
 
 
+def _sample(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """A bounded sample of the labelled documents, on which the language network and the letter model are fitted."""
+    return languages.sample(table(spark, sf_dir, "documents"), "text", "lang")
+
+
 class _Spoilt:
     """Residue or garbled text: what the problems of real, readable text leave to their own operators."""
 
-    def __init__(self, counts: dict[str, int], n: int) -> None:
-        self.counts, self.n, self.index = counts, n, None
+    def __init__(self, counts: dict[str, int], n: int, letters: garbled.Model) -> None:
+        self.counts, self.n, self.letters, self.index = counts, n, letters, None
 
     def __call__(self, text: str) -> bool:
         if self.index is None:
             self.index = residue.Index(self.counts, self.n)
-        return self.index.score(text) >= residue.COVERED or garbled.repair(text)[0]
+        return self.index.score(text) >= residue.COVERED or garbled.repair(text, self.letters)[0]
 
     def __getstate__(self):
-        return {"counts": self.counts, "n": self.n, "index": None}
+        return {**self.__dict__, "index": None}
 
 
 def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every truncated abstract with its probability."""
     texts = _abstracts(spark, sf_dir)
-    spoilt = _Spoilt(*residue.frequencies(texts, "text"))
+    spoilt = _Spoilt(*residue.frequencies(texts, "text"), garbled.Model(_sample(spark, sf_dir)))
     return truncated.truncation_scores(texts, ["src", "row_key"], "text", "source", spoilt)
 
 
@@ -56,11 +61,6 @@ def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("share", F.col("n_truncated") / F.col("n_records"))
 
 
-def _network(spark: SparkSession, sf_dir: str) -> languages.Network | None:
-    """Trained on a bounded sample of the labelled documents."""
-    return languages.fitted(spark, languages.sample(table(spark, sf_dir, "documents"), "text", "lang"))
-
-
 def _readable(df: DataFrame, text: str, spoilt: _Spoilt) -> DataFrame:
     """The rows whose text is neither residue nor garbled."""
 
@@ -73,14 +73,14 @@ def _readable(df: DataFrame, text: str, spoilt: _Spoilt) -> DataFrame:
 
 def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stretch of one language of every abstract, with its confidence."""
-    rows = languages.label_texts(table(spark, sf_dir, "delta"), ["row_id"], "abstract", _network(spark, sf_dir))
+    rows = languages.label_texts(table(spark, sf_dir, "delta"), ["row_id"], "abstract", languages.fitted(spark, _sample(spark, sf_dir)))
     parts = rows.select("row_id", F.posexplode("segments").alias("seg_no", "s"))
     return parts.select("row_id", "seg_no", "s.char_start", "s.char_end", "s.lang", "s.confidence")
 
 
 def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every abstract: that of its longest stretches, with their share of the text and their mean confidence."""
-    rows = languages.label_texts(table(spark, sf_dir, "delta"), ["row_id"], "abstract", _network(spark, sf_dir))
+    rows = languages.label_texts(table(spark, sf_dir, "delta"), ["row_id"], "abstract", languages.fitted(spark, _sample(spark, sf_dir)))
     parts = rows.select("row_id", F.explode("segments").alias("s")).withColumn("n", F.col("s.char_end") - F.col("s.char_start"))
     per = parts.groupBy("row_id", "s.lang").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("s.confidence")) / F.sum("n")).alias("confidence"))
     best = per.groupBy("row_id").agg(F.max(F.struct("n", "lang", "confidence")).alias("b"), F.sum("n").alias("all"))
@@ -89,14 +89,14 @@ def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of the abstracts whose label is missing or wrong, or that mix languages."""
-    delta = table(spark, sf_dir, "delta")
-    rows = languages.label_texts(delta, ["row_id", "no_english"], "abstract", _network(spark, sf_dir))
+    delta, sample = table(spark, sf_dir, "delta"), _sample(spark, sf_dir)
+    rows = languages.label_texts(delta, ["row_id", "no_english"], "abstract", languages.fitted(spark, sample))
     label = F.lower(F.trim(F.coalesce("no_english", F.lit(""))))
     yes, no = label.isin("true", "yes", "y", "1", "t"), label.isin("false", "no", "n", "0", "f")
     english = F.array_contains("langs", "en")
     wrong = ~(yes | no) | (yes & english) | (no & ~english) | (F.size("langs") > 1)
     chosen = rows.where((F.size("langs") > 0) & wrong).select("row_id", "text", "langs")
-    spoilt = _Spoilt(*residue.frequencies(delta, "abstract"))
+    spoilt = _Spoilt(*residue.frequencies(delta, "abstract"), garbled.Model(sample))
     return _readable(chosen, "text", spoilt).select("row_id", F.explode("langs").alias("lang"))
 
 
@@ -168,7 +168,7 @@ def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled cells of delta with the text given back and whether characters stay lost."""
-    return garbled.repair_cells(table(spark, sf_dir, "delta"), "row_id", ["abstract", "authors"])
+    return garbled.repair_cells(table(spark, sf_dir, "delta"), "row_id", ["abstract", "authors"], garbled.Model(_sample(spark, sf_dir)))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

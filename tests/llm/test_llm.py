@@ -1,3 +1,4 @@
+import difflib
 import random
 import unicodedata
 
@@ -11,31 +12,109 @@ from sievewright.llm import garbled, languages, leak, packing, residue, sentence
 # ---- garbled ---------------------------------------------------------------
 
 
+@pytest.fixture(scope="module")
+def documents():
+    """Labelled documents for the letter model, and others that it has not seen."""
+    import duckdb
+
+    rows = duckdb.sql("select lang, text from '/root/testdata/sf0.1/documents.parquet' where regexp_matches(lang, '^[a-z]{2}$') and length(text) > 60 order by doc_id").fetchall()
+    by = {}
+    for lang, text in rows:
+        by.setdefault(lang, []).append(text)
+    return [(k, t) for k, v in by.items() for t in v[:120]], {k: [t for t in v[120:] if t not in set(v[:120])][:40] for k, v in by.items()}
+
+
+@pytest.fixture(scope="module")
+def letters(documents):
+    return garbled.Model(documents[0])
+
+
 @pytest.mark.parametrize("wrong", ["cp1252", "latin-1", "cp1251", "mac_roman", "cp437"])
-@pytest.mark.parametrize("text", ["Señal – déjà “vu” naïve café", "Önceki çalışmalardan farklı olarak düştü"])
+@pytest.mark.parametrize("text", ["Señal – déjà “vu” naïve café", "Önceki çalışmalardan farklı olarak düştü", "𝒳 ≈ 😀 and বাংলা, ქართული"])
 def test_round_trip_of_decoders(wrong, text):
     table = garbled._decode_table(wrong)
     bad = "A plain start. " + "".join(table[b] for b in text.encode())
     assert garbled.repair(bad) == (True, "A plain start. " + text, False)
 
 
-def test_twice_and_code_pages():
-    once = "Señal “x” naïve".encode().decode("cp1252", "replace").replace("�", "\x9d")
+#: (language, true encoding, wrong decoder)
+PAIRS = [
+    ("ru", "cp1251", "latin-1"), ("ru", "koi8-r", "cp1251"), ("ru", "cp1251", "koi8-r"), ("ru", "cp866", "cp1252"), ("ru", "iso8859-5", "latin-1"), ("pl", "cp1250", "cp1252"),
+    ("pl", "iso8859-2", "latin-1"), ("tr", "cp1254", "cp1252"), ("fr", "latin-1", "mac_roman"), ("fr", "cp437", "cp1252"), ("de", "cp1252", "cp1251"), ("es", "cp1252", "cp1251"), ("ar", "cp1256", "cp1252"),
+    ("zh", "gbk", "latin-1"), ("ja", "shift_jis", "cp1252"), ("ko", "euc_kr", "latin-1"), ("th", "cp874", "latin-1"), ("zh", "utf-8", "cp1252"), ("ru", "utf-8", "cp1251"), ("pl", "utf-8", "mac_roman"),
+]
+
+
+def garble(text, true, wrong):
+    table = garbled._decode_table(wrong)
+    return "".join(table[b] for b in text.encode(true, "ignore")), text.encode(true, "ignore").decode(true)
+
+
+def test_all_pairs_on_unseen_documents(documents, letters):
+    found = restored = wrong_ones = total = 0
+    poor = {}
+    for lang, true, wrong in PAIRS:
+        hits = n = 0
+        for text in documents[1].get(lang, []):
+            part = " ".join(text.split()[:60]) if lang not in ("zh", "ja", "th") else text[:200]
+            bad, good = garble(part, true, wrong)
+            if bad == good or sum(c > "\x7f" for c in good) < 8:
+                continue
+            is_bad, fixed, lost = letters and garbled.repair(bad, letters)
+            n += 1
+            hits += is_bad
+            units = (lambda t: list(t)) if lang in ("zh", "ja", "th") else str.split
+            same = difflib.SequenceMatcher(None, units(fixed), units(good), autojunk=False).ratio()
+            restored += is_bad and not lost and same > 0.8
+            wrong_ones += is_bad and not lost and same < 0.5 and fixed != bad
+        found, total = found + hits, total + n
+        if n and hits < 0.9 * n:
+            poor[lang, true, wrong] = (hits, n)
+    print(found, restored, wrong_ones, total)
+    assert total > 300
+    assert found >= 0.95 * total, (found, total, poor)
+    assert wrong_ones <= 0.02 * total, (wrong_ones, total)
+    assert restored >= 0.85 * total, (restored, total, poor)
+
+
+def test_no_false_alarm_on_clean_texts_with_addresses(documents, letters):
+    rng = random.Random(6)
+    texts = [t for v in documents[1].values() for t in v]
+    parts = [p for t in texts for p in t.split(". ") if len(p) > 20]
+    alarms = 0
+    for k in range(10_000):
+        text = rng.choice(parts) + f" See http://x.org/a?b={k}&c=d?e=f for the data. What?no"
+        alarms += garbled.repair(text, letters)[0]
+    assert alarms <= 5
+
+
+def test_other_scripts_are_not_destroyed(letters):
+    """Greek and Hebrew are not in the sample: they stay as they are or are restored, but never turn into something else."""
+    for text, true in (("Η μελέτη επαναλήφθηκε στην κοιλάδα και η απόδοση αυξήθηκε", "iso8859-7"), ("המחקר חזר על עצמו בעמק והתפוקה עלתה בשליש", "cp1255")):
+        bad, good = garble(text, true, "latin-1")
+        _, fixed, lost = garbled.repair(bad, letters)
+        assert fixed in (bad, good) or lost
+
+
+def test_twice_and_code_pages(letters):
+    once = "Señal “x” naïve".encode().decode("cp1252", "replace").replace("\ufffd", "\x9d")
     table = garbled._decode_table("cp1252")
     assert garbled.repair("".join(table[b] for b in once.encode()))[1] == "Señal “x” naïve"
     russian = "Полученные результаты показывают многое"
-    assert garbled.repair(russian.encode("cp1251").decode("latin-1")) == (True, russian, False)
-    assert garbled.repair(russian.encode("koi8-r").decode("cp1251"))[0]
+    assert garbled.repair(russian.encode("cp1251").decode("latin-1"), letters) == (True, russian, False)
+    assert garbled.repair(russian.encode("koi8-r").decode("cp1251"), letters) == (True, russian, False)
 
 
-@pytest.mark.parametrize("text", [None, "", "plain", "Łucja Ekenóuxt", "CONCLUSÃO: não", "«Наша СССР». Гёте, Сёмга", "Mont–élevé", "Is it? Yes", "日本語のテキスト", "ภาษาไทย"])
-def test_proper_text_stays(text):
-    assert garbled.repair(text) == (False, text, False)
+@pytest.mark.parametrize("text", [None, "", "plain", "Łucja Ekenóuxt", "CONCLUSÃO: não", "«Наша СССР». Гёте, Сёмга", "Mont–élevé", "Is it? Yes", "日本語のテキスト", "ภาษาไทย", "see http://x.org/a?b=c for the data", "What?no", "a rise of 3 µg at 5 °C"])
+def test_proper_text_stays(text, letters):
+    assert garbled.repair(text, letters) == (False, text, False)
+    assert text is not None and "?" in text or garbled.repair(text) == (False, text, False)
 
 
-def test_lost():
+def test_lost(letters):
     assert garbled.repair("M?ridan and caf??-style")[0::2] == (True, True)
-    assert garbled.repair("Se��al")[2]
+    assert garbled.repair("Se\ufffd\ufffdal")[2]
+    assert garbled.repair("The caf?s of Paris, t?rrib", letters)[2]
 
 
 def test_garbled_operator(spark):
