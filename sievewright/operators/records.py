@@ -48,7 +48,7 @@ def authors_of(cell: Column) -> Column:
     """Typed authors of a cell: name, affiliations (the first filled alternative), whether corresponding; empty if unreadable."""
     typed = F.from_json(F.to_json(author_list(cell)), AUTHOR)
     filled = lambda a: F.when(F.coalesce(F.trim(a["rasses"]), F.lit("")) != "", F.array(F.trim(a["rasses"])))
-    several = lambda a: F.filter(F.transform(a["affiliations"], F.trim), lambda x: x != "")
+    several = lambda a: F.filter(F.transform(a["affiliations"], lambda x: F.trim(x)), lambda x: x != "")
     shaped = lambda a: F.struct(
         a["name"].alias("name"),
         F.coalesce(F.when(F.size(several(a)) > 0, several(a)), filled(a), F.array().cast("array<string>")).alias("affiliations"),
@@ -75,6 +75,16 @@ def one_per_key(df: DataFrame, key: str, *order: Column, greatest: bool = False)
     return best.select(key, *[F.col(f"__b.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 
+def latest_rows(df: DataFrame, key: str, at: str, row_id: str) -> DataFrame:
+    """The row of each key with the latest `at` (NULL is earliest), of equal ones the greatest row_id, which is unique.
+
+    Only key, time and row number are aggregated (fixed-size values, hashed map-side); whole rows are fetched by a
+    semi-join on their number, so texts are never sorted.
+    """
+    best = df.groupBy(key).agg(F.max(F.struct(at, row_id)).alias("b")).select(F.col(f"b.{row_id}").alias(row_id))
+    return df.join(best, row_id, "left_semi")
+
+
 def first_seen(df: DataFrame, value: Column, seq: str, name: str) -> DataFrame:
     """Distinct values with the sequence number of their first sight: an aggregation, no window."""
     return df.select(value.alias(name), seq).where(F.coalesce(F.trim(name), F.lit("")) != "").groupBy(name).agg(F.min(seq).alias("first_seq"))
@@ -124,3 +134,17 @@ def normal_set(names: Column) -> Column:
     """Sorted distinct lower-case tokens of a name: the key of joins that do not heed the order of name parts."""
     words = F.split(F.trim(F.regexp_replace(F.lower(names), r"[^\p{L}\p{N}]+", " ")), " ")
     return F.array_join(F.array_sort(F.array_distinct(words)), " ")
+
+
+def batch_rows(df: DataFrame, number: str, batch: int, size: int = 100) -> DataFrame:
+    """The rows of one batch of consecutive numbers from 1; numbers that are no positive integers are in none."""
+    n = F.try_to_number(F.col(number).cast("string"), F.lit("999999999999999999")).cast("long")
+    return df.where(n.between((batch - 1) * size + 1, batch * size))
+
+
+def input_rows(df: DataFrame, required: tuple[str, ...], key: str) -> DataFrame:
+    """Rows with a key; missing columns are refused. Rows without a key are dropped before any limit is taken."""
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return df.where(F.coalesce(F.trim(key), F.lit("")) != "")

@@ -204,7 +204,7 @@ def named_pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("a.name").agg(F.count("*").alias("n"), F.countDistinct("rec_no").alias("n_records"), F.sum(F.size("a.affiliations")).alias("n_affiliations"))
 
 
-@query("ordered_zip", "select g.rec_no, i.i as pos, g.authors[i.i + 1].name as gold_name, p.parsed.authors[i.i + 1].name as parsed_name from gold_rows g join parsed_rows p using (rec_no) cross join range(0, 40) i where i.i < least(len(g.authors), len(p.parsed.authors)) and len(g.authors) = len(p.parsed.authors)")
+@query("ordered_zip", "select g.rec_no, i.i as pos, g.authors[i.i + 1].name as gold_name, p.parsed.authors[i.i + 1].name as parsed_name from gold_rows g join parsed_rows p using (rec_no) cross join range(0, (select max(len(authors)) from gold_rows)) i where i.i < least(len(g.authors), len(p.parsed.authors)) and len(g.authors) = len(p.parsed.authors)")
 def ordered_zip(spark: SparkSession, d: str) -> DataFrame:
     """Author lists of equal length side by side, by position."""
     g = table(spark, d, "gold_rows").select("rec_no", F.col("authors.name").alias("x"))

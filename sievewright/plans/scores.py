@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sievewright.operators import agreement as ag
 from sievewright.operators import scoring
-from sievewright.operators.records import one_per_key
+from sievewright.operators.records import latest_rows
 from sievewright.session import table
 
 
@@ -16,7 +15,7 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, d: str, relaxed: bool) -> DataFrame:
-    parsed = one_per_key(table(spark, d, "parsed_rows").select("rec_no", "parse_id", "parsed", "landed_at"), "rec_no", F.col("landed_at"), F.col("parse_id"), greatest=True)
+    parsed = latest_rows(table(spark, d, "parsed_rows").select("rec_no", "parse_id", "parsed", "landed_at"), "rec_no", "landed_at", "parse_id")
     return ag.agreement(table(spark, d, "gold_rows"), parsed, relaxed)
 
 

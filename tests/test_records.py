@@ -202,3 +202,48 @@ def test_pages_give_back_whole_abstracts(spark, tmp_path):
     ).write.parquet(f"{tmp_path}/gold_rows.parquet")
     row = pages.extracted(spark, str(tmp_path)).first()
     assert (row.abstract, row.pdf_url) == (abstract.strip(), "http://x/a.pdf")
+
+
+REPAIRED = [
+    # page, names, then for each author (affiliation, flagged)
+    ('<a class="x author">Ann  Lee<i></i></a>\n<span class="overlay">Uni &amp; Co<a>more</a></span><a class=author>Bo Ek</a>', ["Ann Lee", "Bo Ek"], [("Uni & Co", False), ("", False)]),
+    ('<script type="application/ld+json">{"@graph": [{"author": [{"name": "Lee, Ann", "affiliation": [{"name": "A"}, {"name": "", "address": {"name": "B"}}]}]}]}</script>', ["Ann Lee"], [("A; B", False)]),
+    ('<script type="application/json" data-iso-key="_0">{"authors":{"content":[{"#name":"author-group","$$":[{"#name":"author","$$":[{"#name":"given-name","_":"Ann"},{"#name":"surname","_":"Lee"},{"#name":"cross-ref","$":{"refid":"AC1"}},{"#name":"cross-ref","$":{"refid":"AF2"}}]},{"#name":"affiliation","$":{"id":"AF2"},"$$":[{"#name":"textfn","$$":[{"#name":"__text__","_":"Uni"},{"#name":"footnote","_":"note"}]}]}]}]}}</script>', ["ann lee"], [("Uni", False)]),
+    ('<span class="sciprofiles-link__name">Ann Lee</span> <sup>1,*</sup><span class="sciprofiles-link__name">Bo Ek</span><sup>2</sup>', ["Ann Lee", "Bo Ek"], [("1,*", True), ("2", False)]),
+    ("<p><b>Corresponding author</b>: write to <a href='mailto:j.vanDam@x.org'>us</a>", ["Bo Ek", "Jan van Dam"], [("", False), ("", True)]),
+    ("Correspondence to Dr P.M. White, Dept of Law", ["Ann Lee", "P. M. White"], [("", False), ("", True)]),
+    ("no marks at all <script type=\"application/ld+json\">{broken</script>", ["Ann Lee"], [("", False)]),
+    (None, ["Ann Lee"], [("", False)]),
+]
+
+
+def test_each_repair(spark):
+    rows = [(i, page, [(n, "", False) for n in names]) for i, (page, names, _) in enumerate(REPAIRED)]
+    df = spark.createDataFrame(rows, f"k int, page string, authors array<{extract.AUTHOR}>").selectExpr("*", "'T' as title", "'' as abstract", "'' as pdf_url", "1 as metas")
+    got = {r.k: [(a.affiliation, a.is_corresponding) for a in r.authors] for r in extract.repair(df).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(REPAIRED)}
+    assert extract.repair(df.limit(0)).count() == 0
+
+
+def test_sections_labels_and_hosts(spark):
+    long = "A paragraph of the section that goes on. " * 6
+    latin = "Latin text of the abstract that is long enough. " * 4
+    rows = [(1, f'<div class="category-section content-section"><p>{long}</p></div>', "short"), (2, f"<b>Abstract:</b> {latin}<br>", "Исследование было повторено в долине"), (3, '"/doi/epdf/10.1/A" "/doi/pdf/10.1/a"', "x" * 300)]
+    df = spark.createDataFrame(rows, "k int, page string, abstract string").selectExpr("*", "'T' as title", "'https://doi.org/10.1/a' as pdf_url", "'10.1/a' as doi", "'https://pub.example/x' as resolved_url", f"cast(array() as array<{extract.AUTHOR}>) as authors")
+    got = {r.k: r for r in extract.repair(df).collect()}
+    assert got[1].abstract == long.strip() and got[2].abstract == latin.strip() and got[3].pdf_url == "https://pub.example/doi/pdf/10.1/a"
+
+
+def test_meta_mail_and_encoding(spark):
+    page = '<meta content="T" name=citation_title><meta name="citation_author" content="H. Kari"><meta name="citation_author" content="D. S. Robinson"><meta name="citation_author_institution" content="Lab, E-mail: d.s.robinson@x.uk"><meta name="citation_abstract" content="CafÃ© in the valley.">'
+    meta = extract.from_meta(spark.createDataFrame([(1, page)], "k long, html string"), "k", "html")
+    row = extract.flag_from_meta_mail(meta.withColumn("authors", extract._flags(F.col("authors"), lambda a: F.lit(False)))).first()
+    assert [a.is_corresponding for a in row.authors] == [False, True] and row.abstract == "Café in the valley."
+
+
+def test_corrections(spark):
+    v = "array<struct<field:string,verdict:string,text:string,by_name:map<string,string>>>"
+    rows = [(1, [("Ann", "", False), ("Bo", "x", True)], "a", "p", [("abstract", "fail", "new", None), ("pdf_url", "pass", "zz", None), ("affiliation", "fail", None, {"Ann": "Uni"}), ("is_corresponding", "fail", None, {"Ann": "true", "Bo": "no"})]), (2, [], "a", "p", [("abstract", "uncertain", "q", None)])]
+    got = {r.k: r for r in extract.corrected(spark.createDataFrame(rows, f"k int, authors array<{extract.AUTHOR}>, abstract string, pdf_url string, verdicts {v}")).collect()}
+    assert (got[1].abstract, got[1].pdf_url, got[1].again) == ("new", "p", True) and [(a.affiliation, a.is_corresponding) for a in got[1].authors] == [("Uni", True), ("x", False)]
+    assert (got[2].abstract, got[2].again) == ("a", False)
