@@ -223,4 +223,8 @@ def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_share": p1_share, "p2_found": p2_found, "p2_segments": p2_segments, "p2_languages": p2_languages, "p3_unified": p3_unified, "p10_found": p10_found, "p4_found": p4_found, "p4_members": p4_members, "p3_found": p3_found, "p3_compared": p3_compared, "p5_found": p5_found, "p5_kept": p5_kept, "p8_packed": p8_packed, "p8_each": p8_each, "p8_fill": p8_fill, "p9_found": p9_found, "p9_alignments": p9_alignments, "p9_leaked_items": p9_leaked_items, "p7_found": p7_found, "p7_repaired": p7_repaired}
-ORACLE: dict[str, str] = {}
+_GRAMS = r"select {0} as k, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) as g from (select {0}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as w from {1}) where len(w) > 11"
+ORACLE: dict[str, str] = {
+    "p9_found": f"select distinct d.k as doc_id, i.k as item_id from ({_GRAMS.format('doc_id', 'documents')}) d join ({_GRAMS.format('item_id', 'eval_items')}) i using (g)",
+}
+ORACLE["p9_leaked_items"] = f"select item_id, count(*) as n_documents from ({ORACLE['p9_found']}) group by 1"
