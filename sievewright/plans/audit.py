@@ -264,12 +264,12 @@ def field_report_joined(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("shard_digests", "select shard, count(*) as n_lines, sha256(array_to_string(list_sort(list(sha256(concat_ws('|', fetch_id, coalesce(status, ''))))), '')) as digest from fetch_log group by 1")
+@query("shard_digests", "with h as (select shard, sha256(concat_ws('|', fetch_id, coalesce(status, ''))) as h from fetch_log), p as (select shard, substr(h, 1, 4) as p, count(*) as n, sha256(array_to_string(list_sort(list(h)), '')) as s from h group by 1, 2) select shard, sum(n)::bigint as n_lines, sha256(array_to_string(list(s order by p), '')) as digest from p group by 1")
 def shard_digests(spark: SparkSession, d: str) -> DataFrame:
-    """A manifest of shards: lines, and a digest of the digests of all lines, whatever their order. Digests are combined in
-    two steps, by their first two digits and then by shard, so a hot shard is spread."""
+    """A manifest of shards: lines, and a digest of the digests of all lines, whatever their order. Lines are spread by the
+    first four digits of their digest, and only one digest of each of these 65,536 parts comes together in a shard."""
     rows = table(spark, d, "fetch_log").select("shard", F.sha2(F.concat_ws("|", F.col("fetch_id").cast("string"), F.coalesce("status", F.lit(""))), 256).alias("h"))
-    parts = rows.groupBy("shard", F.substring("h", 1, 2).alias("p")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("h")), "").alias("s"))
+    parts = rows.groupBy("shard", F.substring("h", 1, 4).alias("p")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("s"))
     whole = parts.groupBy("shard").agg(F.sum("n").alias("n_lines"), F.sort_array(F.collect_list(F.struct("p", "s"))).alias("x"))
     return whole.select("shard", "n_lines", F.sha2(F.array_join("x.s", ""), 256).alias("digest"))
 

@@ -87,13 +87,20 @@ def empty_kinds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "delta").select(cells).groupBy("c.field").agg(*[F.count_if(kinds[k](F.col("c.v"))).alias(k) for k in ("gold_marker", "absent", "merge_empty", "list_empty")])
 
 
-@query("authors_quality")
+_UNCOMMA = r"regexp_replace(t, ',\s*([\]}])', '\1', 'g')"
+_UNQUOTE = """case when t like '"%"' then replace(regexp_replace(regexp_replace(t, '^"', ''), '"$', ''), '""', '"') end"""
+_LISTS = " ".join(f"when json_valid({x}) and json_type({x}) = 'ARRAY' then {x}" for x in ("t", _UNCOMMA, _UNQUOTE))
+_CELLS = f"with c as (select row_id, trim(coalesce(authors, ''), ' ') as t from delta), l as (select row_id, t, case {_LISTS} end as j from c)"
+
+
+@query("authors_quality", f"{_CELLS}, q as (select case when t in ('N/A', 'N/A`', 'NA', 'n/a', '') or j is not null then 'ok' when starts_with(t, '[') then 'broken-json' else 'journal-title-leaked' end as quality from l) select quality, quality = 'ok' as scored, count(*) as n from q group by 1")
 def authors_quality(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "delta").select(records.authors_quality(F.col("authors")).alias("q"))
     return q.groupBy("q.quality", "q.scored").agg(F.count("*").alias("n"))
 
 
-@query("authors_typed")
+@query("authors_typed", f"""{_CELLS}, a as (select row_id, unnest(json_extract(j, '$[*]')) as a, unnest(range(0, json_array_length(j)::bigint))::int as pos from l where j is not null)
+select row_id, pos, a->>'name' as name, case when trim(coalesce(a->>'rasses', ''), ' ') <> '' then [trim(a->>'rasses', ' ')] else []::varchar[] end as affiliations, coalesce(a->>'corresponding_author', a->>'is_corresponding')::boolean as is_corresponding from a""")
 def authors_typed(spark: SparkSession, d: str) -> DataFrame:
     typed = table(spark, d, "delta").select("row_id", F.posexplode(records.authors_of(F.col("authors"))).alias("pos", "a"))
     return typed.select("row_id", "pos", "a.name", "a.affiliations", "a.is_corresponding")
@@ -198,10 +205,10 @@ def fetch_latency(spark: SparkSession, d: str) -> DataFrame:
     return monitor.latency(table(spark, d, "fetch_log"), "duration_ms", "shard")
 
 
-@query("rolling_failures", "with w as (select shard, fetch_id, count(*) over p as c, avg(case when status <> 'ok' then 1 else 0 end) over p as s from fetch_log window p as (partition by shard order by fetch_id rows between 19 preceding and current row)) select shard, fetch_id, round(s, 6) as share from w where c = 20 and s >= 0.3")
+@query("rolling_failures", "with w as (select shard, fetch_id, count(*) over p as c, avg(case when status <> 'ok' then 1 else 0 end) over p as s from fetch_log window p as (partition by shard order by fetch_id rows between 19 preceding and current row)) select shard, fetch_id, round(s, 6) as share from w where c = 20 and s >= 0.1")
 def rolling_failures(spark: SparkSession, d: str) -> DataFrame:
     shares = monitor.rolling_share(table(spark, d, "fetch_log"), F.col("status") != "ok", "shard", "fetch_id")
-    return shares.where("share >= 0.3").select("shard", "fetch_id", F.round("share", 6).alias("share"))
+    return shares.where("share >= 0.1").select("shard", "fetch_id", F.round("share", 6).alias("share"))
 
 
 @query("running_attempts", "select shard, fetch_id, (sum(attempts) over (partition by shard order by fetch_id rows unbounded preceding))::bigint as total from fetch_log")
@@ -369,7 +376,10 @@ def threshold_gap(spark: SparkSession, d: str) -> DataFrame:
     return tuning.largest_gap(_ratios(spark, d), "v")
 
 
-@query("threshold_valley")
+@query("threshold_valley", _RATIO + """, c as (select round(v * 1000)::int as x, count(*) as k from r group by 1), m as (select count(v) as n, stddev(v) as sd from r),
+d as (select i / 1000 as y, sum(k * exp(-pow((i / 1000 - x / 1000) / (1.06 * sd * pow(n, -0.2)), 2) / 2)) as d from range(0, 1001) t(i), c, m where n >= 4 and sd > 0 group by 1),
+p as (select y, d, lag(d) over (order by y) as a, lead(d) over (order by y) as b from d), k as (select y from p where d > a and d > b order by d desc, y limit 2), e as (select min(y) as lo, max(y) as hi from k having count(*) = 2)
+select y as threshold, lo as peak_low, hi as peak_high from d, e where y between lo and hi order by d, y limit 1""")
 def threshold_valley(spark: SparkSession, d: str) -> DataFrame:
     return tuning.kde_valley(_ratios(spark, d), "v")
 
