@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sievewright.operators import agreement as ag
 from sievewright.operators import scoring
 from sievewright.operators.records import latest_rows
-from sievewright.session import table
+from sievewright.session import cut, table
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +25,7 @@ QUERIES = {
     "score_by_publisher": lambda s, d: scoring.summarise(_scores(s, d), "publisher_domain"),
     "score_by_failure": lambda s, d: scoring.summarise(scoring.by_tag(_scores(s, d)), "failure_mode"),
     "score_by_run": lambda s, d: scoring.summarise(_scores(s, d), "run_id"),
+    "score_slices": lambda s, d: scoring.by_slice(cut(_scores(s, d))),
     "agreement_strict": lambda s, d: ag.agreement_rates(_verdicts(s, d, False)),
     "agreement_relaxed": lambda s, d: ag.agreement_rates(_verdicts(s, d, True)),
     "disagreements": lambda s, d: _verdicts(s, d, True).where("NOT (authors AND rases AND corresponding AND abstract AND pdf_url)"),

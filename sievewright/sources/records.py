@@ -53,3 +53,19 @@ def alias(df: DataFrame, names: dict[str, tuple[str, ...]]) -> DataFrame:
     have = set(df.columns)
     pick = lambda options: F.coalesce(*[F.nullif(F.col(f"`{o}`"), F.lit("")) for o in options if o in have], F.lit(None).cast("string"))
     return df.select(*[pick(options).alias(name) for name, options in names.items()])
+
+
+def read_keyed(spark: SparkSession, path: str, key: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """CSV rows by key: trimmed, blank keys dropped, of several rows of a key the last one of the file (then of the last file)."""
+    rows = read_csv(spark, path, required or (key,))
+    placed = rows.withColumn("__at", F.struct(F.col("_metadata.file_name"), F.monotonically_increasing_id()))
+    keyed = placed.withColumn(key, F.trim(f"`{key}`")).where(F.col(f"`{key}`") != "")
+    last = keyed.groupBy(F.col(f"`{key}`").alias("__k")).agg(F.max("__at").alias("__at"))
+    return keyed.join(last.select("__at"), "__at", "left_semi").drop("__at")
+
+
+def missing_files(spark: SparkSession, folder: str, pattern: str, expected: int) -> DataFrame:
+    """Numbers from 1 to expected of which no file of the folder bears one; pattern has the number as its only group."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").option("recursiveFileLookup", "true").load(folder).select("path")
+    have = files.select(F.regexp_extract("path", pattern, 1).alias("n")).where("n <> ''").select(F.col("n").cast("long").alias("batch_no")).distinct()
+    return spark.range(1, expected + 1).select(F.col("id").alias("batch_no")).join(have, "batch_no", "left_anti")
