@@ -6,7 +6,8 @@ The scan works on the bytes of Arrow string buffers. For a whole batch it comput
     space before the next mark of a numbered list),
 and turns the surviving delimiters into child offsets of one list array, which is flattened with parent ordinals.
 
-Defined cases: null, empty or blank text gives no value; unbalanced quotes in a row count as ordinary characters;
+Defined cases: null, empty or blank text gives no value; unbalanced quotes in a row count as ordinary characters; a
+single quote encloses only from one delimiter or end of the text to another, else it is an apostrophe;
 an opening bracket without its end, or an end without its opening, protects nothing; empty values between
 delimiters are dropped and take no position; repeated rows each give their own values; texts of any length are
 scanned whole.
@@ -25,7 +26,7 @@ from sievewright.session import arrow_map
 
 #: List marks that a value loses: a bullet, or a number with a dot or bracket.
 MARK = re.compile(r"^(?:[-*•·‣▪◦–—]\s+|\(\d{1,3}\)\s*|\d{1,3}\)\s*|\d{1,3}\.\s+)")
-PAIRS = {'"': '"', "“": "”", "«": "»", "„": "“"}
+PAIRS = {'"': '"', "'": "'", "“": "”", "«": "»", "„": "“"}
 #: Texts without one of these characters hold one value; Spark drops them before Python sees them.
 MAY_DIVIDE = r"[;|\t\n\r/,；｜¦]|\s\(?2[.)]\s"
 
@@ -65,7 +66,7 @@ def _numbered(data: np.ndarray, row: np.ndarray, first: np.ndarray, space: np.nd
     """
     n = len(data)
     found = np.zeros(n, bool)
-    tail = np.r_[data, np.zeros(5, np.uint8)]
+    tail = np.r_[data, np.zeros(6, np.uint8)]
     edge = np.r_[True, space[:-1]] | first
     filled = ~space
     at_head = np.zeros(n, bool)
@@ -74,11 +75,13 @@ def _numbered(data: np.ndarray, row: np.ndarray, first: np.ndarray, space: np.nd
     at_head[filled & (seen - seen[begin] + filled[begin] == 1)] = True
     index = np.flatnonzero(edge & filled)
     opened = (tail[index] == 40).astype(np.int64)
-    d1, d2 = tail[index + opened].astype(np.int64) - 48, tail[index + opened + 1].astype(np.int64) - 48
-    digit1, digit2 = (d1 >= 0) & (d1 < 10), (d2 >= 0) & (d2 < 10)
+    d1, d2, d3 = (tail[index + opened + k].astype(np.int64) - 48 for k in range(3))
+    digit1, digit2, digit3 = ((d >= 0) & (d < 10) for d in (d1, d2, d3))
+    digit3 &= digit2
     value = np.where(digit2, d1 * 10 + d2, d1)
-    end = tail[np.minimum(index + opened + 1 + digit2, n + 3)]
-    after = tail[np.minimum(index + opened + 2 + digit2, n + 4)]
+    value = np.where(digit3, value * 10 + d3, value)
+    end = tail[np.minimum(index + opened + 1 + digit2 + digit3, n + 4)]
+    after = tail[np.minimum(index + opened + 2 + digit2 + digit3, n + 5)]
     mark = digit1 & ((end == 41) | (end == 46) & (opened == 0)) & (after == 32)
     index, value = index[mark], value[mark]
     style = opened[mark] * 2 + (end[mark] == 41)
@@ -132,6 +135,20 @@ def divide(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     after = np.r_[space[1:], True] | (index + 1 == offsets[1:][row])
 
     alnum = ((data >= 48) & (data <= 57)) | ((data | 32) >= 97) & ((data | 32) <= 122) | (data == 35)
+    # single quotes enclose a value only from a delimiter (or the beginning) to a delimiter (or the end), as they are apostrophes too
+    single_quote = data == 39
+    if single_quote.any():
+        border = np.isin(data, np.frombuffer(b";|,\t\n\r/", np.uint8))
+        seen_before = np.r_[-1, np.maximum.accumulate(np.where(space & ~border, -1, index))[:-1]]
+        seen_after = np.r_[np.minimum.accumulate(np.where(space & ~border, n, index)[::-1])[::-1][1:], n]
+        at_start = (seen_before < offsets[:-1][row]) | border[np.maximum(seen_before, 0)]
+        at_end = (seen_after >= offsets[1:][row]) | border[np.minimum(seen_after, n - 1)]
+        opening = single_quote & at_start & ~np.r_[space[1:], True] & ~inside
+        closing = single_quote & at_end & ~np.r_[True, space[:-1]] & ~opening
+        last_open = np.maximum.accumulate(np.where(opening, index, -1))
+        last_close = np.r_[-1, np.maximum.accumulate(np.where(closing, index, -1))[:-1]]
+        next_close = np.minimum.accumulate(np.where(closing, index, n)[::-1])[::-1]
+        inside |= (last_open >= offsets[:-1][row]) & (last_open > last_close) & (next_close < offsets[1:][row])
     amp = np.where(data == 38, index, -1)
     last_amp = np.maximum.accumulate(amp)
     other = np.cumsum(~alnum)

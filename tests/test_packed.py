@@ -12,7 +12,8 @@ CASES = [
     ('"a; b"; c', ["a; b", "c"]), ('"a, b","c"', ["a, b", "c"]), ("x and/or y", ["x and/or y"]), ("a / b // c", ["a", "b", "c"]),
     ("foo (was: X; now closed); bar", ["foo (was: X; now closed)", "bar"]), ("A &amp; B; C", ["A &amp; B", "C"]), ("paywall, abstract", ["paywall, abstract"]),
     ("", []), (None, []), ("   ", []), ("• a\n• b;", ["a", "b"]), ('5" x; y', ['5" x', "y"]), ("a (b; c", ["a (b", "c"]), ("a) b; c", ["a) b", "c"]),
-    ("a;;b; ", ["a", "b"]), ("http://x//y", ["http://x//y"]),
+    ("'x;y'; z", ["x;y", "z"]), ("O'Neil; D'Arcy", ["O'Neil", "D'Arcy"]), ("the boys' club; 'a' b", ["the boys' club", "'a' b"]), ("'tis; can't", ["'tis", "can't"]),
+    (" ".join(f"({k}) v{k}" for k in range(1, 121)), [f"v{k}" for k in range(1, 121)]), ("a;;b; ", ["a", "b"]), ("http://x//y", ["http://x//y"]),
 ]
 
 
