@@ -10,20 +10,33 @@ from pyspark.sql import functions as F
 BLOCK = 50_000
 
 
+#: Cells between the smallest and the largest value of a group, in which places of sorted values are looked up.
+CELLS = 2000
+
+
 def latency(log: DataFrame, value: str, *by: str) -> DataFrame:
     """Smallest, mean, median, 95th per cent point (place int(.95 n) - 1 of the sorted values) and largest, by group.
 
-    Values are counted before they are ranked, so a hot group is bounded by its distinct values.
+    Values are counted by CELLS equal cells first; only the cells that hold a wanted place are sorted, each by itself, so
+    no task holds the values of a group.
     """
-    counts = log.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(*by)
-    ranked = counts.withColumn("upto", F.sum("k").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(w))
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
-    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-    return ranked.groupBy(*by).agg(
-        F.max("n").alias("n"), F.min("v").alias("lo"), F.round(F.sum(F.col("v") * F.col("k")) / F.max("n"), 6).alias("avg"),
-        ((at(low) + at(high)) / 2).alias("median"), at(F.greatest(F.floor(F.col("n") * 0.95) - 1, F.lit(0))).alias("p95"), F.max("v").alias("hi"),
-    )
+    kept = log.where(F.col(value).isNotNull()).select(F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("g"), *by, F.col(value).alias("v"))
+    ends = kept.groupBy("g").agg(*[F.first(c).alias(c) for c in by], F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.round(F.avg("v"), 6).alias("avg"))
+    width = F.greatest((F.col("hi") - F.col("lo")).cast("double"), F.lit(1e-9))
+    cells = kept.select("g", "v").join(ends.select("g", "lo", "hi"), "g").select("g", "v", F.floor((F.col("v") - F.col("lo")) / width * CELLS).alias("cell"))
+    upto = F.sum("k").over(Window.partitionBy("g").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))  # over at most CELLS + 1 rows
+    counts = cells.groupBy("g", "cell").agg(F.count("*").alias("k")).withColumn("upto", upto)
+    n = F.col("n")
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), place.alias("place")) for name, place in (("low", F.floor((n - 1) / 2)), ("high", F.floor(n / 2)), ("p95", F.greatest(F.floor(n * 0.95) - 1, F.lit(0))))])
+    asked = ends.select("g", F.explode(wanted).alias("w")).select("g", "w.name", "w.place")
+    before = F.col("upto") - F.col("k")
+    spots = counts.join(asked, "g").where((F.col("place") >= before) & (F.col("place") < F.col("upto"))).select("g", "cell", "name", (F.col("place") - before).alias("at"))
+    inside = cells.join(spots.select("g", "cell").distinct(), ["g", "cell"], "left_semi").groupBy("g", "cell", "v").agg(F.count("*").alias("m"))
+    ranked = inside.withColumn("sofar", F.sum("m").over(Window.partitionBy("g", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = ranked.join(spots, ["g", "cell"]).where((F.col("at") < F.col("sofar")) & (F.col("at") >= F.col("sofar") - F.col("m")))
+    at = lambda name: F.max(F.when(F.col("name") == name, F.col("v")))
+    points = found.groupBy("g").agg(((at("low") + at("high")) / 2).alias("median"), at("p95").alias("p95"))
+    return ends.join(points, "g").select(*by, "n", "lo", "avg", "median", "p95", "hi")
 
 
 def _blocks(df: DataFrame, by: str, order: str, width: int, *totals: Column) -> DataFrame:

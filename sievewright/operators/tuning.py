@@ -39,13 +39,20 @@ def otsu(df: DataFrame, value: str) -> DataFrame:
     return best.where("b IS NOT NULL").select(((-F.col("b.low") + 0.5) / BINS).alias("threshold"))
 
 
+def in_cells(df: DataFrame, cells: int = 2000) -> DataFrame:
+    """`v` with its `cell`, one of `cells` + 1 between the smallest and the largest value, whatever their range."""
+    ends = df.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # one row
+    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))
+    return df.join(F.broadcast(ends), how="cross").select("v", F.floor((F.col("v") - F.col("lo")) / width * cells).alias("cell"))
+
+
 def largest_gap(df: DataFrame, value: str, floor: float = 0.5) -> DataFrame:
     """The widest gap between neighbouring distinct values from `floor` on (first of equal ones): its middle and its ends.
 
     No value gives (floor, floor, 1); a single one gives itself three times. Neighbours are found per bin first, so the
     window that closes gaps between bins sees one row a bin and not the whole column.
     """
-    kept = df.where(F.col(value) >= floor).select(F.col(value).alias("v")).distinct().withColumn("bin", F.floor(F.col("v") * 1000))
+    kept = in_cells(df.where(F.col(value) >= floor).select(F.col(value).cast("double").alias("v")).distinct()).withColumnRenamed("cell", "bin")
     inside = kept.withColumn("next", F.lead("v").over(Window.partitionBy("bin").orderBy("v"))).where("next IS NOT NULL").select("v", "next")
     ends = kept.groupBy("bin").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     across = ends.select(F.col("hi").alias("v"), F.lead("lo").over(Window.orderBy("bin")).alias("next")).where("next IS NOT NULL")
@@ -63,8 +70,8 @@ def largest_gap(df: DataFrame, value: str, floor: float = 0.5) -> DataFrame:
 def kde_valley(df: DataFrame, value: str, grid: int = 1000) -> DataFrame:
     """The lowest density between the two strongest peaks of a Gaussian kernel estimate; no row without two peaks.
 
-    Values are aggregated to a histogram of `grid` + 1 rounded values before densities are summed, so the join of grid
-    and values is of bounded size on both sides.
+    Defined on values rounded to 1 / `grid` (values lie between 0 and 1): they are aggregated to a histogram before densities
+    are summed, so the join of grid and values is of bounded size on both sides.
     """
     spark = df.sparkSession
     counts = df.where(F.col(value).isNotNull()).groupBy(F.round(F.col(value) * grid).cast("int").alias("x")).agg(F.count("*").alias("k"))
@@ -87,7 +94,7 @@ def nearest_rank(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     Places are found in a histogram of cells first (a window over cells, not values); only the cells that hold one are
     then ordered, each by itself.
     """
-    kept = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.floor(F.col(value) * 1000).alias("cell"))
+    kept = in_cells(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")))
     cells = kept.groupBy("cell").agg(F.count("*").alias("k")).select("cell", "k", F.sum("k").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
     total = df.agg(F.count(value).alias("n"))
     asked = df.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
@@ -127,7 +134,7 @@ def bootstrap_of(df: DataFrame, value: str, estimator, rounds: int = 200, seed:
 
 
 def bootstrap(df: DataFrame, value: str, rounds: int = 1000, seed: int = 42, cells: int = 64) -> DataFrame:
-    """2.5, 50 and 97.5 per cent points of the mean over resamples.
+    """2.5, 50 and 97.5 per cent points of the mean over resamples. An estimate: resamples draw bins, each with its exact mean.
 
     Values are first aggregated to BINS sums, so a resample draws counts of bins and its cost does not follow the
     rows; the resamples are spread over `cells` tasks.
