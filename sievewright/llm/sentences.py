@@ -29,6 +29,7 @@ from sievewright.session import arrow_map
 TOP = 0x110000
 #: Abbreviations that do not end a sentence (fixed values; lower case, without the last full stop), by language.
 NEVER = """
+gov col rep sen capt lt maj sgt rev hon lic arq
 dr mrs mr ms prof st fig figs vol vols sec secs pp pag ver approx eq eqs ref refs ed eds cf vs al e.g i.e resp incl est ca viz jr sr dept univ gen
 vgl abb bzw tab nr bd hrsg evtl ggf sog usw.a z.b d.h u.a s.o
 mme mmes mlle mm mgr dra sra sres srta sr srs profa drs pe eng exmo pág págs núm cap art tj m.in np por rys ok mgr inż hab
