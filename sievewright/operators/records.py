@@ -148,3 +148,16 @@ def input_rows(df: DataFrame, required: tuple[str, ...], key: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {missing}")
     return df.where(F.coalesce(F.trim(key), F.lit("")) != "")
+
+
+def without_types(df: DataFrame, kind: str, dropped: tuple[str, ...]) -> DataFrame:
+    """Rows whose type is not in a list, without regard to case; rows without a type stay."""
+    return df.where(~F.coalesce(F.lower(kind).isin(*[t.lower() for t in dropped]), F.lit(False)))
+
+
+def renamed(df: DataFrame, names: dict[str, str], back: bool = False) -> DataFrame:
+    """Columns under other names, or back under their own: nothing else changes."""
+    pairs = {v: k for k, v in names.items()} if back else names
+    if len(set(pairs.values())) < len(pairs):
+        raise ValueError("two columns would have one name")
+    return df.withColumnsRenamed(pairs)

@@ -279,3 +279,16 @@ def convention_labels(spark: SparkSession, d: str) -> DataFrame:
     """The label of a row's prefix from a table of prefixes, NULL where it has none."""
     dims = small(table(spark, d, "publishers").select(F.col("doi_prefix").alias("prefix"), F.col("publisher_name").alias("label")))
     return table(spark, d, "delta").select("row_id", tx.doi_prefix(F.col("doi")).alias("prefix")).join(dims, "prefix", "left").select("row_id", "label")
+
+
+@query("display_forms", "with e as (select publisher_domain, count(error) / count(*) as x from parsed_rows where publisher_domain is not null group by 1) select publisher_domain, printf('%.1f%%', x * 100) as share, concat(case when x - 0.05 > 0 then '+' else '' end, printf('%.1f%%', (x - 0.05) * 100)) as beside from e")
+def display_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Error shares as they are shown, and beside a mark of five per cent."""
+    e = table(spark, d, "parsed_rows").where("publisher_domain IS NOT NULL").groupBy("publisher_domain").agg((F.count("error") / F.count("*")).alias("x"))
+    return e.select("publisher_domain", tx.percent_text(F.col("x")).alias("share"), tx.signed_percent_text(F.col("x") - 0.05).alias("beside"))
+
+
+@query("kept_types", "select doc_type, count(*) as n from documents where doc_type is null or lower(doc_type) not in ('note', 'review') group by 1")
+def kept_types(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without the types of a list; an unknown type is kept."""
+    return records.without_types(table(spark, d, "documents"), "doc_type", ("note", "review")).groupBy("doc_type").agg(F.count("*").alias("n"))

@@ -322,8 +322,10 @@ select rec_no, case when can_abstract and not no_abstract then d_abstract else a
 (case when can_abstract and not no_abstract then 1 else 0 end + case when can_pdf_url and not no_pdf_url then 1 else 0 end)::int as filled, (case when can_abstract and no_abstract then 1 else 0 end + case when can_pdf_url and no_pdf_url then 1 else 0 end)::int as held_back from w""")
 def merged_fields(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "delta").select("rec_no", "row_id", "abstract", "pdf_url")
-    ends = rows.groupBy("rec_no").agg(F.min(F.struct("row_id", "abstract", "pdf_url")).alias("a"), F.max(F.struct("row_id", "abstract", "pdf_url")).alias("b"))
-    return merge.merge_filled(ends.select("rec_no", "a.abstract", "a.pdf_url"), ends.select("rec_no", "b.abstract", "b.pdf_url"), table(spark, d, "gold_rows"), "rec_no", ["abstract", "pdf_url"])
+    # only row numbers are aggregated; the rows themselves are fetched by them
+    ends = rows.groupBy("rec_no").agg(F.min("row_id").alias("a"), F.max("row_id").alias("b"))
+    end = lambda c: rows.join(ends.select(F.col(c).alias("row_id")), "row_id", "left_semi").drop("row_id")
+    return merge.merge_filled(end("a"), end("b"), table(spark, d, "gold_rows"), "rec_no", ["abstract", "pdf_url"])
 
 
 @query("best_parse", "select rec_no, parse_id, n_authors from (select rec_no, parse_id, run_id, len(list_filter(parsed.authors, lambda x: coalesce(trim(x.name), '') <> '')) as n_authors, row_number() over (partition by rec_no order by len(list_filter(parsed.authors, lambda x: coalesce(trim(x.name), '') <> '')) desc nulls last, run_id, parse_id) as r from parsed_rows) where r = 1")

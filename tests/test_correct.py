@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as tx
-from sievewright.operators import audit, correct, scoring, tuning
+from sievewright.operators import audit, correct, records, scoring, tuning
 from sievewright.sources import records as src
 from sievewright.sources import sinks
 
@@ -98,3 +98,26 @@ def test_slices_equal_single_summaries(spark):
     assert sliced["all", ""].rows == total.rows and sliced["all", ""].authors_f1 == pytest.approx(total.authors_f1)
     for r in scoring.summarise(scores, "publisher_domain").collect():
         assert sliced["publisher", r.publisher_domain].rows == r.rows
+
+
+def test_registered_functions(spark):
+    from sievewright.functions import register
+
+    assert "sw_linked_people" in register.register(spark)
+    row = spark.sql("select sw_normal_name('DOE, Jané') as n, sw_unescape('a &amp; b') as u, sw_normal_words(null) as w").first()
+    assert (row.n, row.u, row.w) == ("doe jane", "a & b", None)
+    block = '{"@graph": [{"author": {"givenName": "Ann", "familyName": "Lee", "affiliation": "Uni"}}]}'
+    spark.createDataFrame([(1, block), (2, None), (3, "{broken")], "k int, block string").createOrReplaceTempView("blocks")
+    assert [tuple(r) for r in spark.sql("select k, p.* from blocks, lateral sw_linked_people(block) p").collect()] == [(1, "Ann Lee", "Uni")]
+
+
+def test_types_and_names_of_columns(spark):
+    df = spark.createDataFrame([(1, "Note"), (2, None), (3, "paper")], "k int, kind string")
+    assert {r.k for r in records.without_types(df, "kind", ("note",)).collect()} == {2, 3}
+    names = {"k": "No", "kind": "Type"}
+    assert records.renamed(records.renamed(df, names), names, back=True).columns == df.columns
+    with pytest.raises(ValueError):
+        records.renamed(df, {"k": "x", "kind": "x"})
+    with pytest.raises(ValueError):
+        records.input_rows(df, ("doi",), "k")
+    assert [r.k for r in records.batch_rows(df, "k", 2, 2).collect()] == [3]
