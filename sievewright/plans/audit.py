@@ -292,3 +292,30 @@ def display_forms(spark: SparkSession, d: str) -> DataFrame:
 def kept_types(spark: SparkSession, d: str) -> DataFrame:
     """Documents without the types of a list; an unknown type is kept."""
     return records.without_types(table(spark, d, "documents"), "doc_type", ("note", "review")).groupBy("doc_type").agg(F.count("*").alias("n"))
+
+
+_SETS = r"list_distinct(list_filter(list_transform({0}, lambda a: array_to_string(list_sort(list_distinct(string_split(trim(regexp_replace(lower(a.name), '[^\pL\pN]+', ' ', 'g'), ' '), ' '))), ' ')), lambda k: coalesce(k, '') <> ''))"
+
+
+@query("exact_scores", f"""with x as (select l.publisher_domain, coalesce({_SETS.format('g.authors')}, []) as g, coalesce({_SETS.format('l.parsed.authors')}, []) as p, coalesce({_SETS.format('list_filter(g.authors, lambda a: a.is_corresponding)')}, []) as cg, coalesce({_SETS.format('list_filter(l.parsed.authors, lambda a: a.is_corresponding)')}, []) as cp,
+{_PLAIN.format('g.abstract')} as ga, {_PLAIN.format('l.parsed.abstract')} as pa from gold_rows g join {_LATEST} l using (rec_no)),
+y as (select publisher_domain, len(list_intersect(g, p)) as tp, len(g) as ng, len(p) as np, len(list_intersect(cg, cp)) as ctp, len(cg) as nc, len(cp) as mc, ga = pa as same from x),
+z as (select *, case when ng + np = 0 then 1 else 2 * tp / (ng + np) end as f1 from y)
+select publisher_domain, count(*) as n, round(avg(f1), 6) as f1_mean, round(case when sum(np) = 0 then 0 else sum(tp) / sum(np) end, 6) as precision, round(case when sum(ng) = 0 then 0 else sum(tp) / sum(ng) end, 6) as recall,
+sum(ctp)::bigint as flags_tp, (sum(mc) - sum(ctp))::bigint as flags_fp, (sum(nc) - sum(ctp))::bigint as flags_fn, count(*) filter (same) as abstracts_same from z group by 1""")
+def exact_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores on the exact tier, native throughout: authors by their name sets, flags, abstracts in plain form, per publisher."""
+    keys = lambda a: F.array_distinct(F.filter(F.transform(a, lambda x: records.normal_set(x["name"])), lambda k: F.coalesce(k, F.lit("")) != ""))
+    sets = lambda a: F.coalesce(keys(a), F.array().cast("array<string>"))
+    flagged = lambda a: F.filter(a, lambda x: x["is_corresponding"])
+    side = lambda a, text, s: [sets(F.col(a)).alias(f"a_{s}"), sets(flagged(F.col(a))).alias(f"c_{s}"), audit.plain(F.col(text)).alias(f"t_{s}")]
+    g = table(spark, d, "gold_rows").select("rec_no", *side("authors", "abstract", "g"))
+    p = _latest(spark, d).select("rec_no", "publisher_domain", *side("parsed.authors", "parsed.abstract", "p"))
+    shared = lambda c: F.size(F.array_intersect(f"{c}_g", f"{c}_p"))
+    rows = g.join(p, "rec_no").select("publisher_domain", shared("a").alias("tp"), F.size("a_g").alias("ng"), F.size("a_p").alias("np"), shared("c").alias("ctp"), F.size("c_g").alias("nc"), F.size("c_p").alias("mc"), (F.col("t_g") == F.col("t_p")).alias("same"))
+    f1 = F.when(F.col("ng") + F.col("np") == 0, 1.0).otherwise(2 * F.col("tp") / (F.col("ng") + F.col("np")))
+    ratio = lambda a, b: F.round(F.when(F.sum(b) == 0, 0.0).otherwise(F.sum(a) / F.sum(b)), 6)
+    return rows.groupBy("publisher_domain").agg(
+        F.count("*").alias("n"), F.round(F.avg(f1), 6).alias("f1_mean"), ratio("tp", "np").alias("precision"), ratio("tp", "ng").alias("recall"), F.sum("ctp").alias("flags_tp"),
+        (F.sum("mc") - F.sum("ctp")).alias("flags_fp"), (F.sum("nc") - F.sum("ctp")).alias("flags_fn"), F.count_if("same").alias("abstracts_same"),
+    )
