@@ -149,7 +149,8 @@ def facts(page: Column) -> Column:
     typed = F.transform(F.filter(scripts, lambda s: F.contains(F.lower(F.substring_index(s, ">", 1)), F.lit("data-iso-key"))), body)
     people = F.regexp_extract_all(page, F.lit(rf"(?is)(<a\b{_has_class('author')}[^>]*>.*?</a>|<span\b{_has_class('overlay')}[^>]*>[^<]*)"), F.lit(1))
     marks = F.regexp_extract_all(page, F.lit(rf"(?is)(<span\b{_has_class('sciprofiles-link__name')}[^>]*>[^<]*|<sup\b[^>]*>[^<]*</sup>)"), F.lit(1))
-    mails = F.regexp_extract_all(page, F.lit(r"""(?is)(.{0,500}\bhref\s*=\s*["']?mailto:[^"'@\s]+)@"""), F.lit(1))
+    # the search costs 500 steps a character, so only pages that hold such a link are searched
+    mails = F.when(F.contains(F.lower(page), F.lit("mailto:")), F.regexp_extract_all(page, F.lit(r"""(?is)(.{0,500}\bhref\s*=\s*["']?mailto:[^"'@\s]+)@"""), F.lit(1))).when(page.isNotNull(), F.array().cast("array<string>"))
     labelled = F.regexp_extract_all(page, F.lit(rf"(?is)<div\b{_has_class('content-section')}[^>]*>.*?<p\b[^>]*>(.*?)</p>"), F.lit(1))
     latin = F.trim(F.regexp_extract(F.get(F.split(page, r"(?i)<b>\s*abstract\s*:?\s*</b>"), F.lit(1)), r"^\s*(?:<[^>]*>\s*)?([^<]*)", 1))
     low = F.regexp_replace(F.lower(page), r"\s+", " ")

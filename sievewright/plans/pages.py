@@ -42,12 +42,14 @@ def extracted(spark: SparkSession, d: str) -> DataFrame:
 
 def round_trip(spark: SparkSession, d: str) -> DataFrame:
     """How many records give back the names, affiliations and number of their authors, their abstract and the address of their file."""
-    made = F.transform("authors", lambda a: F.struct(F.trim(a["name"]).alias("n"), F.trim(F.array_join(a["affiliations"], "; ")).alias("p")))
-    gold = pages(spark, d).select("rec_no", made.alias("made"), F.trim("abstract").alias("a"), F.trim(F.coalesce("pdf_url", F.lit(""))).alias("p"))
-    out = extract.repair(extract.from_meta(pages(spark, d), "rec_no", "page"))
-    back = out.select("rec_no", F.transform("authors", lambda a: F.struct(a["name"].alias("n"), a["affiliation"].alias("p"))).alias("found"), "abstract", "pdf_url")
-    same = (F.col("made") == F.col("found")) & (F.col("a") == F.trim("abstract")) & (F.col("p") == F.trim("pdf_url"))
-    return gold.join(back, "rec_no", "left").agg(F.count("*").alias("n_pages"), F.count_if(same).alias("n_same"))
+    made = F.transform("known.authors", lambda a: F.struct(F.trim(a["name"]).alias("n"), F.trim(F.array_join(a["affiliations"], "; ")).alias("p")))
+    # each page carries what it was made from, so that nothing is joined: no side is broadcast or shuffled
+    rows = pages(spark, d).select(F.struct("authors", "abstract", "pdf_url").alias("known"), "page")
+    out = extract.repair(extract.from_meta(rows, "known", "page"))
+    found = F.transform("authors", lambda a: F.struct(a["name"].alias("n"), a["affiliation"].alias("p")))
+    place = F.trim(F.coalesce("known.pdf_url", F.lit("")))
+    same = (made == found) & (F.trim("known.abstract") == F.trim("abstract")) & (place == F.trim("pdf_url"))
+    return pages(spark, d).agg(F.count("*").alias("n_pages")).crossJoin(out.agg(F.count_if(same).alias("n_same")))
 
 
 LAYOUTS = ("tags", "overlay", "typed data", "linked data", "raised marks")
