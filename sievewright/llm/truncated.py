@@ -4,7 +4,8 @@ Positives are made by cutting intact values (inside words, inside sentences, aft
 with and without the usual signs of a cut); negatives are the intact values. Features are the closing characters and
 tokens, hashed, the state of quotes and brackets over the whole text, and whether the length meets the limit of its
 source. Limits are counted over all rows: per source, the length at which far more unclosed texts end than at any
-other. The fit uses a bounded sample (TRAIN_TEXTS intact values); every record is scored.
+other. All intact values train the model: their examples are made where the texts are, equal sets of features are
+counted, and the regression is fitted to these counts.
 
 Defined cases: null, blank and N/A texts are not truncated; trailing spaces and invisible characters do not count;
 a closing list of keywords, an imprint or an identifier is not a cut; a source without a limit has no limit feature;
@@ -26,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.session import BROADCAST_ROWS, arrow_map
+from sievewright.session import cut as cut_lineage
 
-#: Bound of the training sample, and size of the hashed feature space.
-TRAIN_TEXTS, SPACE = 6000, 1 << 16
+#: Size of the hashed feature space; weight of the squares of the weights beside the loss of all examples.
+SPACE, RIDGE = 1 << 16, 0.3
 #: A length is a source's limit when so many unclosed texts, and such a share of its unclosed texts, end there.
 LIMIT_COUNT, LIMIT_SHARE = 3, 0.08
 
@@ -171,42 +173,104 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(texts: list[str], seed: int = 7, epochs: int = 12) -> Model:
-    """Fit on intact texts and their artificial truncations; texts must be in a fixed order for a fixed result."""
-    rng = random.Random(seed)
+def examples(raw: str) -> tuple[str | None, list[tuple[bytes, int]]]:
+    """Sets of features with their labels (1: cut) that one text gives, the same ones wherever it stands; none if it may
+    be cut itself. A text of a script that closes sentences without a mark also gives its end: an end seen in one text
+    only may be a cut, so such examples count only if another text ends so."""
+    text = trimmed(raw)
+    thai = bool(_THAI_END.search(text[-12:]))
+    marked = closed(text) or bool(trailer(text)[1])
+    if not (marked or thai) or _open(text) or _MARKED.search(text):
+        return None, []
+    rng = random.Random(zlib.crc32(text.encode()))
+    rows = [(features(text, rng.random() < 0.01), 0)]
+    if rng.random() < 0.2:  # an intact text with what may follow one
+        rows.append((features(text + rng.choice(TRAILERS), False), 0))
+    # a cut within a trailer leaves a whole text, so only what stands before it is cut
+    rows += [(features(piece, rng.random() < 0.3), 1) for piece in cuts(trimmed(text[: trailer(text)[0]]), rng)]
+    return None if marked else text[-5:], [(np.sort(np.array(f, np.int32)).tobytes(), label) for f, label in rows]
+
+
+def fit(texts: list[str]) -> Model:
+    """Fit on intact texts and their artificial truncations."""
     ends = Counter(t[-5:] for t in set(map(trimmed, texts)))
-    rows: list[tuple[list[int], int]] = []
-    for raw in texts:
-        text = trimmed(raw)
-        thai = bool(_THAI_END.search(text[-12:])) and ends[text[-5:]] > 1  # an end seen once may be a cut
-        if not (closed(text) or trailer(text)[1] or thai) or _open(text) or _MARKED.search(text):
-            continue
-        rows.append((features(text, rng.random() < 0.01), 0))
-        if rng.random() < 0.2:  # an intact text with what may follow one
-            rows.append((features(text + rng.choice(TRAILERS), False), 0))
-        # a cut within a trailer leaves a whole text, so only what stands before it is cut
-        rows += [(features(piece, rng.random() < 0.3), 1) for piece in cuts(trimmed(text[: trailer(text)[0]]), rng)]
-    weights = np.zeros(SPACE)
-    if not rows:
-        return Model(weights)
-    width = max(len(f) for f, _ in rows)
-    x = np.full((len(rows), width), SPACE)
-    for i, (f, _) in enumerate(rows):
-        x[i, : len(f)] = f
-    y = np.array([label for _, label in rows], float)
-    w = np.zeros(SPACE + 1)
-    square = np.full(SPACE + 1, 1e-6)
-    order = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for part in np.array_split(order.permutation(len(y)), max(1, len(y) // 256)):
-            z = w[x[part]].sum(1)
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]
-            g = np.zeros(SPACE + 1)
-            np.add.at(g, x[part].ravel(), np.repeat(error, width))
-            g[SPACE] = 0
-            square += g * g
-            w -= 0.5 * g / np.sqrt(square)
-    return Model(w[:SPACE])
+    counts: dict[bytes, list[int]] = {}
+    for text in texts:
+        end, rows = examples(text)
+        for f, label in rows if end is None or ends[end] > 1 else ():
+            counts.setdefault(f, [0, 0])[label] += 1
+    return solve(list(counts), [c[0] for c in counts.values()], [c[1] for c in counts.values()])
+
+
+def solve(sets: list[bytes], whole: list[int], cut: list[int], rounds: int = 80) -> Model:
+    """The weights of least loss over all examples (whole and cut: their numbers per set of features), by the method of
+    Broyden, Fletcher, Goldfarb and Shanno with bounded memory; the order of the sets does not matter."""
+    if not sets:
+        return Model(np.zeros(SPACE))
+    order = sorted(range(len(sets)), key=sets.__getitem__)
+    lengths = np.array([len(sets[i]) // 4 for i in order])
+    x = np.full((len(order), lengths.max()), SPACE)
+    x[np.arange(x.shape[1]) < lengths[:, None]] = np.frombuffer(b"".join([sets[i] for i in order]), np.int32)
+    used, place = np.unique(x, return_inverse=True)
+    place = place.reshape(x.shape)
+    free = (used < SPACE).astype(float)
+    n0, n1 = np.array(whole, float)[order], np.array(cut, float)[order]
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = w[place].sum(1)
+        error = (n0 + n1) / (1 + np.exp(-np.clip(z, -40, 40))) - n1
+        slope = np.bincount(place.ravel(), np.repeat(error, place.shape[1]), len(used)) + RIDGE * w
+        return float(n0 @ np.logaddexp(0, z) + n1 @ np.logaddexp(0, -z) + RIDGE * (w @ w) / 2), slope * free
+
+    w = np.zeros(len(used))
+    value, slope = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        step, shares = slope.copy(), []
+        for d, y in reversed(past):
+            shares.append((d @ step) / (d @ y))
+            step -= shares[-1] * y
+        step *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, float(np.abs(slope).sum()))
+        for (d, y), share in zip(past, reversed(shares), strict=True):
+            step += d * (share - (y @ step) / (d @ y))
+        fall, size = float(slope @ step), 1.0
+        while True:
+            after, turned = loss(w - size * step)
+            if after <= value - 1e-4 * size * fall or size < 1e-6:
+                break
+            size /= 2
+        if after > value or value - after < 1e-7 * value:
+            break
+        if (turned - slope) @ (-size * step) > 1e-12:
+            past = [*past, (-size * step, turned - slope)][-8:]
+        w, value, slope = w - size * step, after, turned
+    out = np.zeros(SPACE + 1)
+    out[used] = w
+    return Model(out[:SPACE])
+
+
+def fitted(df: DataFrame, text: str, spoilt: Callable[[str], bool] = lambda t: False) -> Model:
+    """The model of all texts of more than 60 characters that are not spoilt. Only counts of sets of features leave the
+    executors; they grow with the ways in which texts end, not with the texts."""
+    chosen = df.where(F.length(text) > 60).select(F.col(text).alias("t"))
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts: dict[tuple[bytes, str | None], list[int]] = {}
+        for t in batch.column(0).to_pylist():
+            end, rows = examples(t)
+            if rows and not spoilt(t):
+                for f, label in rows:
+                    counts.setdefault((f, end), [0, 0])[label] += 1
+        sums = [pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in counts], pa.binary()), pa.array([e for _, e in counts], pa.string()), *sums], ["f", "end", "n0", "n1"])
+
+    add = [F.sum(c).alias(c) for c in ("n0", "n1")]
+    rows = cut_lineage(arrow_map(chosen, kernel, "f binary, end string, n0 long, n1 long").groupBy("f", "end").agg(*add))
+    bare = F.regexp_replace("t", rf"[\s{INVISIBLE}]+$", "")
+    again = chosen.select(bare.alias("t")).where(F.col("t").rlike(_THAI_END.pattern)).groupBy(F.right("t", F.lit(5)).alias("end")).agg(F.count_distinct(F.xxhash64("t")).alias("k")).where("k > 1")
+    kept = rows.where(F.col("end").isNull()).unionByName(rows.where(F.col("end").isNotNull()).join(again, "end", "left_semi").select("f", "end", "n0", "n1"))
+    found = kept.groupBy("f").agg(*add).toArrow()
+    return solve(*(found.column(c).to_pylist() for c in ("f", "n0", "n1")))
 
 
 def source_limits(df: DataFrame, text: str, source: str) -> DataFrame:
@@ -221,22 +285,6 @@ def source_limits(df: DataFrame, text: str, source: str) -> DataFrame:
     return per.where((F.col("top") >= LIMIT_COUNT) & (F.col("top") >= LIMIT_SHARE * F.col("all"))).select("source", "cut_at")
 
 
-def sample(df: DataFrame, text: str, bound: int = TRAIN_TEXTS) -> list[str]:
-    """About `bound` texts, the same ones whatever the partitioning: a share of all rows by hash of the text.
-
-    Up to a half of them are kept for scripts that close sentences without a mark, whose ends must be learnt as they are.
-    """
-    chosen = df.where(F.length(text) > 60).select(
-        F.col(text).alias("t"), F.col(text).rlike(r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}]\s*$").alias("unspaced")
-    )
-    sizes = {r["unspaced"]: r["n"] for r in chosen.groupBy("unspaced").agg(F.count("*").alias("n")).collect()}
-    share = {k: int(min(1.0, bound / 2 / max(1, n)) * 1_000_000) + 1 for k, n in sizes.items()}
-    limit = F.when(F.col("unspaced"), F.lit(share.get(True, 0))).otherwise(F.lit(share.get(False, 0)))
-    picked = chosen.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < limit)
-    # the bound holds whatever the hashes; which texts are left is fixed by their hashes too
-    return sorted(r["t"] for r in picked.select("t").orderBy(F.xxhash64("t"), "t").limit(2 * bound).collect())
-
-
 def truncation_scores(
     df: DataFrame, key: list[str], text: str, source: str, spoilt: Callable[[str], bool] = lambda t: False, least: float = 0.5
 ) -> DataFrame:
@@ -244,7 +292,7 @@ def truncation_scores(
 
     Texts for which `spoilt` holds (no real text, or garbled) neither train the model nor come out.
     """
-    model = fit([t for t in sample(df, text) if not spoilt(t)])
+    model = fitted(df, text, spoilt)
     # where every weight is zero nothing was learnt, and nothing is called truncated
     learnt = bool(np.any(model.weights))
     used = np.flatnonzero(model.weights)

@@ -2,7 +2,7 @@
 
 import random
 
-from sievewright.llm import garbled, languages
+from sievewright.llm import garbled, truncated
 
 
 def test_letters_are_counted_over_all_documents(spark):
@@ -17,3 +17,14 @@ def test_letters_are_counted_over_all_documents(spark):
     assert set(one.frequent) == set(exact.frequent)
     by = garbled._per_language([("aa", "Ab ba. 漢ab a")])["aa"]
     assert by == {"^a": 3, "ab": 2, "^b": 1, "ba": 1, "漢": 1}
+
+
+def test_truncation_learns_from_all_texts(spark, monkeypatch):
+    """More texts than a sample held: each one gives its examples, wherever it stands."""
+    texts = [f"The survey of the {k % 97} wells was repeated in the valley after {k} days of rain." for k in range(13_000)]
+    wanted = sum(len(truncated.examples(t)[1]) for t in texts)
+    seen, solve = [], truncated.solve
+    monkeypatch.setattr(truncated, "solve", lambda f, a, b: seen.append(sum(a) + sum(b)) or solve(f, a, b))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    one, many = (truncated.fitted(df.repartition(n), "t").weights for n in (1, 5))
+    assert seen == [wanted, wanted] and (one == many).all() and one.any()
