@@ -2,7 +2,9 @@
 
 import random
 
-from sievewright.llm import garbled, truncated
+import numpy as np
+
+from sievewright.llm import garbled, languages, truncated
 
 
 def test_letters_are_counted_over_all_documents(spark):
@@ -28,3 +30,17 @@ def test_truncation_learns_from_all_texts(spark, monkeypatch):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     one, many = (truncated.fitted(df.repartition(n), "t").weights for n in (1, 5))
     assert seen == [wanted, wanted] and (one == many).all() and one.any()
+
+
+def test_the_network_is_trained_on_all_documents(spark, monkeypatch):
+    """A document beyond those that training begins with changes the network; where the documents are does not."""
+    monkeypatch.setattr(languages, "STEPS", 8)
+    monkeypatch.setattr(languages, "SHARD", 3000)
+    begun = languages.Network(["aa", "bb"])
+    monkeypatch.setattr(languages, "fit", lambda samples: languages.Network(["aa", "bb"]))
+    docs = [(k, f"{w} {i} " * 20) for i in range(30) for k, w in (("aa", "mola tari"), ("bb", "küçük"))]
+    df = spark.createDataFrame(docs, "lang string, text string")
+    one, many, fewer = (languages.fit_all(x, "text", "lang").p for x in (df.repartition(1), df.repartition(5), df.where("text not like 'mola tari 29%'")))
+    assert all(np.array_equal(one[k], many[k]) for k in one)
+    assert any((one[k] != begun.p[k]).any() for k in one) and any((one[k] != fewer[k]).any() for k in one)
+    assert languages.go_over(languages.Network(["aa", "bb"]), docs, 0) == sum(-(-len(languages._bytes(t)) // 240) for _, t in docs)
