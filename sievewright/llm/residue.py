@@ -183,6 +183,15 @@ def tokens(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def words_of(text: str) -> list[str]:
+    """The tokens without their places."""
+    found = [m.lower() for m in _TOKEN.findall(text)]
+    found = ["xxx" if w[:3] == "xxx" and set(w) == {"x"} else w for w in found if not w[0].isdigit()]
+    if not _WIDE.search(text):
+        return found
+    return [part for w in found for part in ([w[i : i + 2] for i in range(max(1, len(w) - 1))] if _WIDE.match(w) else (w,))]
+
+
 def prepare(text: str) -> str:
     """Entities resolved; placeholders, tags, host names and identifiers replaced by marks or blanks."""
     text = html.unescape(html.unescape(text)) if "&" in text else text
@@ -296,8 +305,8 @@ class Index:
         A window's foreign mass is at most (1 - CONTAINED) / CONTAINED of its known mass, and windows that cover a text
         can be chosen so that no token lies in more than two.
         """
-        known = sum(self.known[w] for w in words if w in self.known)
-        foreign = sum(w not in self.known for w in words)
+        held = [self.known[w] for w in words if w in self.known]
+        known, foreign = sum(held), len(words) - len(held)
         bare = foreign - 2 * (1 - CONTAINED) / CONTAINED * known / self.other
         return bare > max(TITLE_WORDS, (1 - COVERED) * len(words))
 
@@ -306,12 +315,12 @@ class Index:
         if text is None or text.strip().lower() in NOT_AVAILABLE:
             return 0.0
         ready = prepare(text)
-        found = tokens(ready)
-        if not found:
+        words = words_of(ready)
+        if not words:
             return 1.0 if "\x01" in ready else 0.0
-        words = [w for w, _, _ in found]
         if not any(w in self.postings or w in self.rare for w in words) or self.hopeless(words):
             return 0.0
+        found = tokens(ready)
         cover = self.covered(found)
         if not any(cover):
             return 0.0
@@ -339,9 +348,8 @@ def vocabulary() -> list[str]:
 
 def frequencies(df: DataFrame, text: str) -> tuple[dict[str, int], int]:
     """In how many texts of the whole column each token of the exemplars occurs (a bounded result), and how many there are."""
-    words = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+"))
-    known = F.split(F.lit(" ".join(vocabulary())), " ")  # folded to one literal
-    kept = df.where(F.col(text).isNotNull()).select(F.explode(F.concat(F.array_intersect(words, known), F.array(F.lit("")))).alias("w"))
+    words = F.concat(F.split(F.lower(F.col(text)), r"[^\p{L}]+"), F.array(F.lit("")))  # the empty one counts the texts
+    kept = df.where(F.col(text).isNotNull()).select(F.explode(F.array_distinct(words)).alias("w")).where(F.col("w").isin("", *vocabulary()))
     counts = {r["w"]: r["n"] for r in kept.groupBy("w").agg(F.count("*").alias("n")).collect()}
     return counts, counts.pop("", 0)
 

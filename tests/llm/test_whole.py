@@ -44,3 +44,37 @@ def test_the_network_is_trained_on_all_documents(spark, monkeypatch):
     assert all(np.array_equal(one[k], many[k]) for k in one)
     assert any((one[k] != begun.p[k]).any() for k in one) and any((one[k] != fewer[k]).any() for k in one)
     assert languages.go_over(languages.Network(["aa", "bb"]), docs, 0) == sum(-(-len(languages._bytes(t)) // 240) for _, t in docs)
+
+
+def test_texts_are_read_once_and_few_at_a_time(monkeypatch):
+    """Copies of a text cost nothing, the scores of few texts are held at once, and the answers are those of each text by itself."""
+    net, seen = languages.Network(["aa", "bb"]), []
+    scores = languages.position_scores
+    monkeypatch.setattr(languages, "position_scores", lambda n, texts: seen.append(list(texts)) or scores(n, texts))
+    monkeypatch.setattr(languages, "TEXTS", 7, raising=False)
+    texts = [f"Mola {k} tari sone. {'Küçük ev. ' * (k % 5)}" for k in range(20)]
+    got = languages.segments(net, texts * 3 + [""])
+    assert sorted(t for some in seen for t in some) == sorted([*texts, ""]) and max(map(len, seen)) <= 7
+    alone = [languages.segments(net, [t])[0] for t in texts]
+    assert [[s[:3] for s in row] for row in got] == [[s[:3] for s in row] for row in alone * 3 + [[]]]
+
+
+def test_gradients_of_texts_of_several_lengths():
+    """Every position counts as if its text stood alone: nothing comes from beyond its end."""
+    net, rng = languages.Network(["aa", "bb"], 5), np.random.default_rng(6)
+    lengths = np.array([1, 4, 9, 9])
+    x, y = rng.integers(0, 256, (9, 4, languages.STRIDE)).astype(np.uint8), rng.integers(0, 2, (9, 4))
+    mask = np.arange(9)[:, None] < lengths
+    _, grad = net.gradients(x, mask, y)
+    alone = [net.gradients(x[:n, k : k + 1], mask[:n, k : k + 1], y[:n, k : k + 1])[1] for k, n in enumerate(lengths)]
+    for name in net.p:
+        assert np.allclose(grad[name], sum(a[name] * (n / lengths.sum()) for a, n in zip(alone, lengths, strict=True)), atol=1e-5), name
+
+
+def test_words_without_a_match_are_not_weighed(monkeypatch):
+    """Where no word that holds a garbled pair gains, the others are not read again with each pair of encodings."""
+    model = garbled.Model([("aa", "küçük möla tärı söne " * 40)])
+    weighed, cost = [], garbled.Model.cost
+    monkeypatch.setattr(garbled.Model, "cost", lambda self, t: weighed.append(t) or cost(self, t))
+    text = "söne ışığı küçük möla tärı çöl " * 20
+    assert model._read(text, [], "cp1252", "cp1251", [(m.start(), m.end()) for m in garbled._WORD.finditer(text)]) is None and not weighed
