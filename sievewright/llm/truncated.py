@@ -20,6 +20,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,8 @@ _IMPRINT = re.compile(
     |(?<=[.!?。！？।؟…"'”’»“)\]])\s*(?:\w+\s){1,3}(?:Press|Publishers?|Society|Journals|Reports|Archive|Verlag))$""",
     re.X | re.I,
 )
+#: What a text with an imprint ends with.
+_IMPRINT_END = re.compile(r"(?:\d|\]|Press|Publishers?|Society|Journals|Reports|Archive|Verlag)$", re.I)
 _ITEM = re.compile(r"[;,、；，·•|/\n]|\s[-–—]\s|\.\s")
 #: What is put after intact texts in training, so that each kind of ending is known.
 TRAILERS = ("\nKeywords: soil; yield", " Key words: wells, rivers", " doi:10.1000/182", " © The authors", " (C) 2019 City Press", " JEL: Q12", " [City Reports, vol. 4]", ", City Press, Vol. 6, No. 4")
@@ -65,20 +68,29 @@ _THAI_END = re.compile(r"[฀-໿က-႟ក-៿][\s\d.,()]*$")
 _BLANK = ("", "n/a", "na", "none", "null")
 
 
+def _marked(text: str) -> bool:
+    """Ends with the sign of a cut; the longest one has 11 characters."""
+    return _MARKED.search(text[-12:]) is not None
+
+
 def trimmed(text: str) -> str:
     """The text without space and invisible characters at its end."""
     return text.rstrip().rstrip(INVISIBLE).rstrip()
 
 
+@lru_cache(maxsize=8)
 def trailer(text: str) -> tuple[int, str]:
     """Where the trailer of a text begins, and its kind; (length, "") without one.
 
     The whole text is searched. Keywords are a trailer if each item after their label is short, an identifier if nothing
     follows it, a mark of copyright if no sentence follows it.
     """
-    m = _IMPRINT.search(text)
+    m = _IMPRINT_END.search(text[-12:]) and _IMPRINT.search(text)
     if m:
         return m.start(), "imprint"
+    low = text.lower()
+    if not any(c in low for c in (":", "：", "10.", "©", "(c)", "copy")):  # no label is without one of these
+        return len(text), ""
     for m in _LABEL.finditer(text):
         rest = text[m.end() :]
         if m["list"]:
@@ -95,7 +107,7 @@ def trailer(text: str) -> tuple[int, str]:
 def closed(text: str) -> bool:
     """Ends with a mark that closes sentences, whatever quotes or brackets follow it."""
     body = text.rstrip(CLOSERS)
-    return bool(body) and body[-1] in ENDS and not _MARKED.search(text)
+    return bool(body) and body[-1] in ENDS and not _marked(text)
 
 
 def features(text: str, at_limit: bool) -> list[int]:
@@ -109,7 +121,7 @@ def features(text: str, at_limit: bool) -> list[int]:
     last = body[-1:] or " "
     shut = last in ENDS
     names = [f"c{tail[-1:]}", f"d{tail[-2:]}", f"e{tail[-3:]}", f"s{shut}"]
-    names.append(f"m{bool(_MARKED.search(text))}{bool(_ENTITY.search(tail))}")
+    names.append(f"m{_marked(text)}{bool(_ENTITY.search(tail))}")
     names.append(f"q{_open(text)}{shut}")
     unspaced = bool(_THAI_END.search(tail))
     names.append(f"u{unspaced}{at_limit}{shut}")
@@ -120,7 +132,7 @@ def features(text: str, at_limit: bool) -> list[int]:
         names.append("n" + re.sub(r"\w", "a", re.sub(r"\d", "0", token[-6:])))
     names.append(f"l{at_limit}")
     if kind:
-        names += [f"k{kind}", f"k{kind}{shut}", f"K{_MARKED.search(whole) is not None}{_ENTITY.search(whole[-10:]) is not None}"]
+        names += [f"k{kind}", f"k{kind}{shut}", f"K{_marked(whole)}{_ENTITY.search(whole[-10:]) is not None}"]
     return [zlib.crc32(n.encode()) % SPACE for n in names]
 
 
@@ -180,7 +192,7 @@ def examples(raw: str) -> tuple[str | None, list[tuple[bytes, int]]]:
     text = trimmed(raw)
     thai = bool(_THAI_END.search(text[-12:]))
     marked = closed(text) or bool(trailer(text)[1])
-    if not (marked or thai) or _open(text) or _MARKED.search(text):
+    if not (marked or thai) or _open(text) or _marked(text):
         return None, []
     rng = random.Random(zlib.crc32(text.encode()))
     rows = [(features(text, rng.random() < 0.01), 0)]
@@ -256,18 +268,19 @@ def fitted(df: DataFrame, text: str, spoilt: Callable[[str], bool] = lambda t: F
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: dict[tuple[bytes, str | None], list[int]] = {}
-        for t in batch.column(0).to_pylist():
+        for t, copies in Counter(batch.column(0).to_pylist()).items():
             end, rows = examples(t)
             if rows and not spoilt(t):
                 for f, label in rows:
-                    counts.setdefault((f, end), [0, 0])[label] += 1
+                    counts.setdefault((f, end), [0, 0])[label] += copies
         sums = [pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1)]
         return pa.RecordBatch.from_arrays([pa.array([f for f, _ in counts], pa.binary()), pa.array([e for _, e in counts], pa.string()), *sums], ["f", "end", "n0", "n1"])
 
     add = [F.sum(c).alias(c) for c in ("n0", "n1")]
     rows = cut_lineage(arrow_map(chosen, kernel, "f binary, end string, n0 long, n1 long").groupBy("f", "end").agg(*add))
     bare = F.regexp_replace("t", rf"[\s{INVISIBLE}]+$", "")
-    again = chosen.select(bare.alias("t")).where(F.col("t").rlike(_THAI_END.pattern)).groupBy(F.right("t", F.lit(5)).alias("end")).agg(F.count_distinct(F.xxhash64("t")).alias("k")).where("k > 1")
+    unspaced = chosen.where(F.col("t").rlike(_UNSPACED.pattern))  # few texts have such a letter at all
+    again = unspaced.select(bare.alias("t")).where(F.col("t").rlike(_THAI_END.pattern)).groupBy(F.right("t", F.lit(5)).alias("end")).agg(F.count_distinct(F.xxhash64("t")).alias("k")).where("k > 1")
     kept = rows.where(F.col("end").isNull()).unionByName(rows.where(F.col("end").isNotNull()).join(again, "end", "left_semi").select("f", "end", "n0", "n1"))
     found = kept.groupBy("f").agg(*add).toArrow()
     return solve(*(found.column(c).to_pylist() for c in ("f", "n0", "n1")))
@@ -315,10 +328,14 @@ def truncation_scores(
             w[shipped[0]] = shipped[1]
             held.append(Model(w))
         n = len(key)
+        found: dict[tuple[str, bool], float] = {}
         scores = []
         for t, at in zip(batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist(), strict=True):
-            p = held[0].score(t, at is not None and at - 1 <= len(t) <= at) if learnt else 0.0
-            scores.append(0.0 if p >= least and spoilt(t) else p)
+            case = t, at is not None and at - 1 <= len(t) <= at
+            if case not in found:
+                p = held[0].score(*case) if learnt else 0.0
+                found[case] = 0.0 if p >= least and spoilt(t) else p
+            scores.append(found[case])
         keep = pa.array([i for i, s in enumerate(scores) if s >= least], pa.int64())
         columns = [batch.column(i).take(keep) for i in range(n + 1)]
         return pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()).take(keep)], [*[f"k{i}" for i in range(n)], "source", "p_truncated"])

@@ -78,3 +78,22 @@ def test_words_without_a_match_are_not_weighed(monkeypatch):
     monkeypatch.setattr(garbled.Model, "cost", lambda self, t: weighed.append(t) or cost(self, t))
     text = "söne ışığı küçük möla tärı çöl " * 20
     assert model._read(text, [], "cp1252", "cp1251", [(m.start(), m.end()) for m in garbled._WORD.finditer(text)]) is None and not weighed
+
+
+def test_copies_are_weighed_once_and_counted_each(monkeypatch):
+    """The examples of a text and the look for labels in it are made once for its copies, which all count."""
+    text = "The survey of the wells was repeated in the valley after many days of rain and the yield"
+    calls, label = [], truncated._LABEL
+
+    class Label:
+        def finditer(self, t):
+            calls.append(t)
+            return label.finditer(t)
+
+    monkeypatch.setattr(truncated, "_LABEL", Label())
+    assert truncated.trailer(text) == (len(text), "") and not calls  # no label is without a sign that this text lacks
+    whole = f"{text} rose. Keywords: soil; wells"
+    first = truncated.examples(whole)
+    assert first[1] and truncated.examples(whole) == first and calls.count(whole) == 1
+    for tail, kind in ((" (C) City", "right"), ("\n", ""), (" The study. City Press\n", "imprint"), (" (continued)", "")):
+        assert truncated.trailer(text + tail)[1] == kind and truncated._marked(text + tail) == (truncated._MARKED.search(text + tail) is not None)
